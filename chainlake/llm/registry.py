@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from chainlake.llm import mixing
+from chainlake.llm import mixing, tokens
 
-MODULES = (mixing,)
+MODULES = (mixing, tokens)
 
 
 def queries() -> dict[str, Callable]:
