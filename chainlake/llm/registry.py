@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from chainlake.llm import mixing, simhash, tokens
+from chainlake.llm import mixing, quality, simhash, tokens
 
-MODULES = (mixing, simhash, tokens)
+MODULES = (mixing, quality, simhash, tokens)
 
 
 def queries() -> dict[str, Callable]:
