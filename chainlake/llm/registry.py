@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from chainlake.llm import mixing, packing, quality, simhash, tokens
+from chainlake.llm import lines, mixing, packing, quality, simhash, tokens
 
-MODULES = (mixing, packing, quality, simhash, tokens)
+MODULES = (lines, mixing, packing, quality, simhash, tokens)
 
 
 def queries() -> dict[str, Callable]:
