@@ -52,9 +52,9 @@ def source_targets(per_source: DataFrame, weights: tuple[int, ...], share: float
 
 
 def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted) of every row of docs."""
+    """doc_id, text_hash, source, size, source_size, target, taken (words, repeats counted) of every row of docs."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("k")), "mix-sizes")
+    sized = cut(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size"), key.alias("k")), "mix-sizes")
     sources = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), weights, share, cap), "mix-sources")
     n_sources = sources.count()
     total = sources.agg(F.sum("source_size")).first()[0] or 0
@@ -64,7 +64,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
     hashed = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     joined = (
         sized.join(by_source, sized["source"].eqNullSafe(by_source["of"]))
-        .drop("of", "n_")
+        .drop("of")
         .withColumn("range", F.floor(hashed * F.ceil(F.col("n") / F.lit(RANGE_ROWS))))
     )
     nonempty = joined.where("size > 0")
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
     queued = cut(
         nonempty.join(offsets, ["s", "range"])
         .withColumn("served", F.col("offset") + F.sum("size").over(inside))
-        .select("doc_id", "source", "size", "source_size", "target", "s", "served"),
+        .select("doc_id", "text_hash", "source", "size", "source_size", "target", "s", "served"),
         "mix-queue",
     )
 
@@ -100,14 +100,25 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
         # no row of that step fits: all of the steps before it
         end = F.struct(F.lit(last["finish"]), F.lit(last["s"])) if last else F.struct(F.lit(edge["slice"] / SLICES), F.lit(0))
         taken = sum(((F.struct(finish(F.lit(e)), F.col("s")) <= end).cast("long") for e in range(cap)), F.lit(0))
-    out = ["doc_id", "source", "size", "source_size", "target"]
+    out = ["doc_id", "text_hash", "source", "size", "source_size", "target"]
     return queued.select(*out, (F.col("size") * taken).cast("long").alias("taken")).unionByName(
         joined.where("size = 0").select(*out, F.lit(0).cast("long").alias("taken"))
     )
 
 
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, as often as the mix takes them (rows of equal doc_id, text and source together)."""
+    copies = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_copies")
+    taken = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(copies).where("_copies > 0")
+    taken = taken.select(F.struct("doc_id", "text_hash", "source").alias("_of"), "_copies")
+    keyed = docs.select(*(docs[c] for c in docs.columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["source"]).alias("_key"))
+    joined = keyed.join(taken, keyed["_key"].eqNullSafe(taken["_of"]))
+    once = joined.withColumn("_again", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_again = 1")
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 QUERIES = {"op1_source_mixing": op1_source_mixing}

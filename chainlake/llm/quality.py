@@ -47,11 +47,12 @@ PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
 
 
 def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
+    """doc_id, text_hash, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
     one = docs.select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         "lang",
         "source",
         F.array_remove(F.split(text, SPACE, -1), "").alias("w"),
@@ -63,6 +64,7 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
     two = one.select(
         "doc_id",
+        "text_hash",
         "lang",
         "source",
         F.size(w).cast("long").alias("n_words"),
@@ -178,6 +180,12 @@ def judge_quality(docs: DataFrame, *, cutoff: float = CUTOFF, min_group: int = M
     return done.unionByName(failed)
 
 
+def keep_good(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that judge_quality keeps."""
+    good = judge_quality(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (F.xxhash64(docs["text"]) == good["_hash"]), "left_semi")
+
+
 def op9_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

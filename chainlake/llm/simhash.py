@@ -64,18 +64,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            fps = [fingerprint(t.as_py(), words) for t in batch.column(1)]
+            fps = [fingerprint(t.as_py(), words) for t in batch.column(2)]
             signed = pa.array([f - (f >> 63 << 64) for f in fps], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), signed], ["doc_id", "text_hash", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.selectExpr("doc_id", "cast(text as string) text").mapInArrow(run, f"doc_id {kind}, fp long")
+    chosen = docs.selectExpr("doc_id", "xxhash64(text) text_hash", "cast(text as string) text")
+    return chosen.mapInArrow(run, f"doc_id {kind}, text_hash long, fp long")
 
 
 def _variants(fp: F.Column, segments) -> list[F.Column]:
@@ -214,14 +215,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, crowd: int = CROWD, words: int = WORDS) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable over links) of every row of docs."""
+    """doc_id, text_hash, fp, root (the least fingerprint reachable), component_id (the least doc_id reachable) of every row."""
     prints = cut(fingerprints(docs, words), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = components(links_between(distinct.select("fp"), distance=distance, crowd=crowd))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "fp", "component_id")
+    named = rooted.select("fp", "root").join(ids, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The row of docs with the least doc_id (null last; then by text hash) of each component, with all its columns, once."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    stays = near_duplicates(docs, **options).groupBy("root").agg(F.min(order).alias("_stays")).select(F.struct("_stays.doc_id", "_stays.text_hash").alias("_stays"))
+    keyed = docs.select(*(docs[c] for c in docs.columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash")).alias("_key"))
+    kept = keyed.join(stays, keyed["_key"].eqNullSafe(stays["_stays"]), "left_semi")
+    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
+    return kept.withColumn("_again", again).where("_again = 1").drop("_again", "_key")
 
 
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
