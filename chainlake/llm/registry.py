@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from chainlake.llm import lines, mixing, packing, quality, simhash, tokens
 
 MODULES = (lines, mixing, packing, quality, simhash, tokens)
 
 
 def queries() -> dict[str, Callable]:
-    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
