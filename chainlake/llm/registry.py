@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from chainlake.llm import lines, mixing, packing, quality, simhash, tokens, warc
+from chainlake.llm import lines, media, mixing, packing, quality, simhash, tokens, warc
 
-MODULES = (lines, mixing, packing, quality, simhash, tokens, warc)
+MODULES = (lines, media, mixing, packing, quality, simhash, tokens, warc)
 
 
 def queries() -> dict[str, Callable]:
