@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
-from chainlake.llm import lines, media, mixing, packing, quality, simhash, tokens, urls, warc
+from chainlake.llm import chat, lines, media, mixing, packing, quality, simhash, tokens, urls, warc
 
-MODULES = (lines, media, mixing, packing, quality, simhash, tokens, urls, warc)
+MODULES = (chat, lines, media, mixing, packing, quality, simhash, tokens, urls, warc)
 
 
 def queries() -> dict[str, Callable]:
