@@ -1,11 +1,40 @@
-"""The registered queries of the ledger engine and their SQL."""
+"""The registered queries of the ledger engine and their SQL.
+
+Each runs over whole tables of the driver's data; measures of type double are cast to decimals before they become cells.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chainlake.functions import cells as C
+from chainlake.functions import rownumbers as R
+from chainlake.operators import chain as H
+from chainlake.operators import joins as J
+from chainlake.operators import paths as P
+from chainlake.operators import query as Q
+from chainlake.operators import rows as O
+from chainlake.sources import logs as L
+from chainlake.sources import sql as S
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
+SEED = bytes(range(32))
+SEED2 = bytes(range(32, 64))
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable]:
@@ -14,3 +43,590 @@ def queries() -> dict[str, Callable]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def low_hex(column) -> F.Column:
+    return F.lower(F.hex(column))
+
+
+# SQL text that the oracles share. Blobs are joined by ||, as DuckDB's concat goes through text.
+S_LONG = lambda x: f"unhex(printf('%016x', {x}))"
+S_NULL = "unhex('000000000000')"
+S_SENTINEL = "unhex(repeat('00', 32))"
+
+
+def s_cell(code: int, data: str, value: str, salt: str = "") -> str:
+    return f"CASE WHEN {value} IS NULL THEN unhex(sha256({salt}{S_NULL})) ELSE unhex(sha256({salt}unhex('{code:02x}') || {data})) END"
+
+
+def s_string(x: str, salt: str = "") -> str:
+    return s_cell(1, f"encode({x})", x, salt)
+
+
+def s_long(x: str, salt: str = "") -> str:
+    return s_cell(2, S_LONG(f"({x})::BIGINT"), x, salt)
+
+
+def s_date(x: str, salt: str = "") -> str:
+    return s_cell(5, S_LONG(f"(epoch_us({x}) // 1000)"), x, salt)
+
+
+def s_decimal_parts(x: str, scale: int) -> dict[str, str]:
+    u = f"(({x})::DECIMAL(38,{scale}) * {10**scale})::BIGINT"
+    z = f"CASE WHEN {u} = 0 THEN 0 ELSE length(abs({u})::VARCHAR) - length(rtrim(abs({u})::VARCHAR, '0')) END"
+    w = f"CASE WHEN {u} = 0 THEN 0 ELSE ({u} // (10::HUGEINT ** ({z}))::BIGINT) END"
+    return {"u": u, "z": z, "w": w}
+
+
+def s_decimal(x: str, scale: int = 4, salt: str = "") -> str:
+    p = s_decimal_parts(x, scale)
+    s = f"CASE WHEN {p['u']} = 0 THEN 0 ELSE {scale} - ({p['z']}) END"
+    h = f"upper(printf('%016x', {p['w']}))"
+    pos = f"ltrim({h}, '0')"
+    even = f"CASE WHEN length({pos}) % 2 = 1 OR {pos} = '' THEN '0' || {pos} ELSE {pos} END"
+    even = f"CASE WHEN {pos} = '' THEN '00' ELSE {even} END"
+    body = f"CASE WHEN {p['w']} < 0 THEN regexp_replace({h}, '^(FF)+([89A-F])', '\\2') WHEN regexp_matches({even}, '^[89A-F]') THEN '00' || {even} ELSE {even} END"
+    return s_cell(4, f"unhex(right(printf('%016x', ({s})::BIGINT), 2) || {body})", x, salt)
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+S_ORDER_ROW = "unhex(sha256(" + " || ".join([s_long("o_orderkey"), s_long("o_custkey"), s_string("o_orderstatus"), s_decimal("o_totalprice"), s_date("o_orderdate"), s_string("o_orderpriority")]) + "))"
+S_ORDERS = "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM orders"
+
+
+def orders_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    orders = load(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,4)"))
+    return O.number_by_key(orders, "o_orderkey")
+
+
+# Rows ----------------------------------------------------------------------------------------------------------------
+
+
+@query("row_numbering_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS row_no FROM orders")
+def row_numbering_orders(spark, sf):
+    return O.number_rows(load(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "row_no")
+
+
+@query("row_input_hash_orders", f"SELECT row_no, lower(hex({S_ORDER_ROW})) AS input_hash FROM ({S_ORDERS})")
+def row_input_hash_orders(spark, sf):
+    return O.with_input_hash(orders_ledger(spark, sf), ORDER_COLUMNS).select("row_no", low_hex("input_hash").alias("input_hash"))
+
+
+CELLS = [("p_partkey", s_long), ("p_name", s_string), ("p_brand", s_string), ("p_type", s_string), ("p_size", s_long), ("p_retailprice", s_decimal)]
+
+
+@query("cell_hash_unsalted", " UNION ALL ".join(f"SELECT p_partkey AS row_no, {i} AS idx, lower(hex({f(c)})) AS hash FROM part" for i, (c, f) in enumerate(CELLS)))
+def cell_hash_unsalted(spark, sf):
+    part = load(spark, sf, "part").withColumn("p_retailprice", F.col("p_retailprice").cast("decimal(18,4)"))
+    return O.long_cells(part, [c for c, _ in CELLS], row="p_partkey").select("row_no", "idx", low_hex("hash").alias("hash"))
+
+
+def s_row_salt(seed: str, row: str) -> str:
+    return f"unhex(sha256({S_LONG(row)} || {seed} || {S_LONG(f'(-{row} - 1)')}))"
+
+
+def s_cell_salt(i: int) -> str:
+    return f"unhex(sha256(unhex('{i:016x}') || salt || unhex('{(1 << 64) - 1 - i:016x}'))) || "
+
+
+S_SEEDS = f"CASE WHEN o_orderkey + 1 >= 500 THEN unhex('{SEED2.hex()}') ELSE unhex('{SEED.hex()}') END"
+S_SALTED = f"SELECT *, o_orderkey + 1 AS row_no, {s_row_salt(S_SEEDS, '(o_orderkey + 1)')} AS salt FROM orders"
+
+
+@query(
+    "row_salted_epochs_orders",
+    f"""SELECT row_no, lower(hex(salt)) AS row_salt, lower(hex(unhex(sha256({s_long('o_orderkey')} || {s_long('o_custkey', s_cell_salt(1))}
+        || {s_string('o_orderstatus', s_cell_salt(2))} || {s_decimal('o_totalprice', 4, s_cell_salt(3))} || {s_date('o_orderdate', s_cell_salt(4))}
+        || {s_string('o_orderpriority', s_cell_salt(5))})))) AS input_hash FROM ({S_SALTED})""",
+)
+def row_salted_epochs_orders(spark, sf):
+    seeded = J.with_epoch_seed(orders_ledger(spark, sf), [(1, SEED), (500, SEED2)])
+    salted = O.with_row_salt(seeded, F.col("seed"))
+    hashed = O.with_input_hash(salted, ORDER_COLUMNS, scheme=C.SaltScheme((0,), False), salt="row_salt")
+    return hashed.select("row_no", low_hex("row_salt").alias("row_salt"), low_hex("input_hash").alias("input_hash"))
+
+
+@query("row_hash_redacted", f"SELECT row_no, lower(hex({S_ORDER_ROW})) AS input_hash, true AS hidden FROM ({S_ORDERS})")
+def row_hash_redacted(spark, sf):
+    cells = O.long_cells(orders_ledger(spark, sf), ORDER_COLUMNS)
+    hidden = O.redact(O.redact(cells, F.col("idx").isin(1, 3)), F.col("idx") == 3)
+    has = O.rows_with_redactions(hidden).withColumn("hidden", F.lit(True))
+    return O.hash_of_cells(hidden).join(has, "row_no", "left").select("row_no", low_hex("input_hash").alias("input_hash"), "hidden")
+
+
+@query("ledger_size_orders", "SELECT count(*)::BIGINT AS n_rows, coalesce(max(o_orderkey + 1), 0)::BIGINT AS size FROM orders")
+def ledger_size_orders(spark, sf):
+    return O.ledger_size(orders_ledger(spark, sf))
+
+
+@query(
+    "rows_with_gaps",
+    f"""SELECT i AS row_no, lower(hex(coalesce({s_long('c_custkey')}, {S_SENTINEL}))) AS input_hash
+        FROM (SELECT unnest(range(1, (SELECT max(c_custkey) FROM customer) + 1)) AS i) LEFT JOIN (SELECT c_custkey, 1 AS there FROM customer WHERE c_acctbal > 0) ON c_custkey = i
+        """.replace(f"coalesce({s_long('c_custkey')}, {S_SENTINEL})", f"CASE WHEN there IS NULL THEN {S_SENTINEL} ELSE {s_long('c_custkey')} END"),
+)
+def rows_with_gaps(spark, sf):
+    customers = load(spark, sf, "customer")
+    size = customers.agg(F.max("c_custkey")).first()[0] or 0
+    hashed = O.with_input_hash(customers.where("c_acctbal > 0"), ["c_custkey"]).select(F.col("c_custkey").alias("row_no"), "input_hash")
+    return O.with_gaps(hashed, size).select("row_no", low_hex("input_hash").alias("input_hash"))
+
+
+@query("row_selection", f"SELECT row_no, o_custkey FROM ({S_ORDERS}) WHERE row_no IN (3, 7, 261) OR row_no BETWEEN 20 AND 40 OR row_no BETWEEN 900 AND 905")
+def row_selection(spark, sf):
+    rows, ranges = O.parse_selection("3, 7 20-40 261, 900-905")
+    return O.pick(orders_ledger(spark, sf), rows=rows, ranges=ranges).select("row_no", "o_custkey")
+
+
+@query("snapshot_membership", "SELECT o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey + 1 <= 1000 AND o_orderkey + 1 IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def snapshot_membership(spark, sf):
+    among = load(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("row_no"))
+    return J.containing(O.snapshot(orders_ledger(spark, sf), 1000).select("row_no"), among)
+
+
+@query("snapshot_missing", "SELECT o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey + 1 NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 40)")
+def snapshot_missing(spark, sf):
+    among = load(spark, sf, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("row_no"))
+    return J.missing(orders_ledger(spark, sf).select("row_no"), among)
+
+
+@query("oversize_to_hash", "SELECT doc_id, CASE WHEN octet_length(encode(text)) > 4096 THEN sha256(text) ELSE NULL END AS hash, CASE WHEN octet_length(encode(text)) > 4096 THEN NULL ELSE text END AS text FROM documents")
+def oversize_to_hash(spark, sf):
+    out = O.oversize_to_hash(load(spark, sf, "documents").select("doc_id", "text")).withColumnRenamed("text", "held")
+    docs = load(spark, sf, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    big = F.col("n") > 4096
+    return out.join(docs, "doc_id").select("doc_id", F.when(big, low_hex("held")).alias("hash"), F.when(~big, F.decode("held", "UTF-8")).alias("text"))
+
+
+@query("prefix_find_limit", f"SELECT row_no, lower(hex({S_ORDER_ROW})) AS input_hash FROM ({S_ORDERS}) WHERE lower(hex({S_ORDER_ROW})) LIKE 'a%' AND row_no >= 10 ORDER BY row_no LIMIT 8")
+def prefix_find_limit(spark, sf):
+    hashed = O.with_input_hash(orders_ledger(spark, sf), ORDER_COLUMNS)
+    return O.prefix_find(hashed.select("row_no", "input_hash"), "A", start=10).select("row_no", low_hex("input_hash").alias("input_hash"))
+
+
+@query("rows_as_json", "SELECT n_nationkey::BIGINT + 1 AS row_no, '{\"row\":' || (n_nationkey + 1) || ',\"cells\":[{\"type\":\"LONG\",\"value\":\"' || n_nationkey || '\"},{\"hash\":\"' || lower(hex(" + s_string("n_name") + ")) || '\"},{\"type\":\"LONG\",\"value\":\"' || n_regionkey || '\"}]}' AS json FROM nation")
+def rows_as_json(spark, sf):
+    nation = load(spark, sf, "nation").withColumn("row_no", (F.col("n_nationkey") + 1).cast("long"))
+    return O.as_json(O.redact(O.long_cells(nation, ["n_nationkey", "n_name", "n_regionkey"]), F.col("idx") == 1))
+
+
+@query("rows_as_text", "SELECT n_nationkey::BIGINT + 1 AS row_no, n_nationkey || ', ' || n_name || ', [X]' AS line FROM nation")
+def rows_as_text(spark, sf):
+    nation = load(spark, sf, "nation").withColumn("row_no", (F.col("n_nationkey") + 1).cast("long"))
+    return O.as_text(O.redact(O.long_cells(nation, ["n_nationkey", "n_name", "n_regionkey"]), F.col("idx") == 2), ", ")
+
+
+# Chains --------------------------------------------------------------------------------------------------------------
+
+NATION = ["n_nationkey", "n_name", "n_regionkey"]
+S_NATION_ROW = "unhex(sha256(" + " || ".join([s_long("n_nationkey"), s_string("n_name"), s_long("n_regionkey")]) + "))"
+S_CHAIN = f"""
+WITH RECURSIVE input AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS r, {S_NATION_ROW} AS i FROM nation),
+fold AS (
+  SELECT 0::BIGINT AS r, list_transform(range(40), lambda k: {S_SENTINEL}) AS f, ''::BLOB AS i, {S_SENTINEL} AS h
+  UNION ALL
+  SELECT n.r, list_transform(range(40), lambda k: CASE WHEN n.r % (1::BIGINT << k) = 0 THEN n.h ELSE n.f[k + 1] END), n.i, n.h
+  FROM (SELECT input.r, fold.f, input.i,
+               unhex(sha256(input.i || list_reduce(fold.f[1:1 + bit_count((input.r & -input.r) - 1)], lambda a, b: a || b))) AS h
+        FROM fold JOIN input ON input.r = fold.r + 1) n)
+"""
+
+
+def nation_inputs(spark, sf):
+    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
+    return O.with_input_hash(nation, NATION).select(F.lit("nation").alias("ledger_id"), "row_no", "input_hash")
+
+
+def order_inputs(spark, sf):
+    return O.with_input_hash(orders_ledger(spark, sf), ORDER_COLUMNS).select(F.lit("orders").alias("ledger_id"), "row_no", "input_hash")
+
+
+def order_chain(spark, sf):
+    return H.work.written(H.fold(order_inputs(spark, sf)), "orders-chain")
+
+
+@query("chain_fold_nation", f"{S_CHAIN} SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
+def chain_fold_nation(spark, sf):
+    return H.fold(nation_inputs(spark, sf)).select("row_no", low_hex("input_hash").alias("input_hash"), low_hex("row_hash").alias("row_hash"))
+
+
+@query("chain_fold_orders", f"SELECT row_no, lower(hex({S_ORDER_ROW})) AS input_hash, true AS hashed FROM ({S_ORDERS})")
+def chain_fold_orders(spark, sf):
+    return H.fold(order_inputs(spark, sf)).select("row_no", low_hex("input_hash").alias("input_hash"), (F.octet_length("row_hash") == 32).alias("hashed"))
+
+
+@query("chain_extend_nation", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r BETWEEN 11 AND 20")
+def chain_extend_nation(spark, sf):
+    inputs = nation_inputs(spark, sf)
+    first = H.work.written(H.fold(inputs.where("row_no <= 10")), "nation-10")
+    return H.extend(first, inputs, max_rows=10).select("row_no", low_hex("row_hash").alias("row_hash"))
+
+
+@query("chain_verify_orders", f"SELECT row_no, true AS ok FROM ({S_ORDERS})")
+def chain_verify_orders(spark, sf):
+    return H.verify(order_chain(spark, sf)).select("row_no", "ok")
+
+
+@query("chain_verify_orders_v06", f"SELECT row_no, true AS ok FROM ({S_ORDERS})")
+def chain_verify_orders_v06(spark, sf):
+    chain = H.work.written(H.fold(order_inputs(spark, sf), "v06"), "orders-chain-v06")
+    return H.verify(chain, "v06").select("row_no", "ok")
+
+
+@query("chains_of_conversations", "SELECT conv_id::VARCHAR AS ledger_id, count(*)::BIGINT AS n, true AS ok FROM conversations GROUP BY conv_id")
+def chains_of_conversations(spark, sf):
+    rows = load(spark, sf, "conversations").withColumn("row_no", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
+    inputs = O.with_input_hash(rows, ["role", "text"]).select(F.col("conv_id").cast("string").alias("ledger_id"), "row_no", "input_hash")
+    chain = H.work.written(H.fold(inputs), "conversations-chain")
+    return H.verify(chain).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
+
+
+S_POINTERS = f"SELECT row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_ORDERS})"
+
+
+@query("pointer_self_join", f"SELECT row_no, level::INTEGER AS level, (row_no - (1::BIGINT << level))::BIGINT AS points_to FROM ({S_POINTERS})")
+def pointer_self_join(spark, sf):
+    return H.pointers(orders_ledger(spark, sf).select(F.lit("orders").alias("ledger_id"), "row_no")).select("row_no", "level", "points_to")
+
+
+@query("chain_frontier_nation", f"{S_CHAIN} SELECT 25::BIGINT AS row_no, k::INTEGER AS level, (SELECT lower(hex(h)) FROM fold WHERE r = (25 >> k) << k) AS hash FROM (SELECT unnest(range(5)) AS k)")
+def chain_frontier_nation(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    return H.frontiers_at(chain).select("row_no", F.posexplode("hashes").alias("level", "h")).select("row_no", "level", low_hex("h").alias("hash"))
+
+
+@query("checkpoint_validation", "SELECT (i * 1024)::BIGINT AS row_no, true AS ok FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) // 1024 + 1)) AS i)")
+def checkpoint_validation(spark, sf):
+    chain = order_chain(spark, sf)
+    return H.check_checkpoints(H.work.written(H.checkpoints(chain, 10), "checkpoints"), chain).select("row_no", "ok")
+
+
+S_CHANGED = "o_orderkey % 1000 = 777 AND o_orderkey > 500"
+
+
+def changed_orders(spark, sf):
+    orders = orders_ledger(spark, sf).withColumn("o_custkey", F.when(F.expr(S_CHANGED), F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return O.with_input_hash(orders, ORDER_COLUMNS).select(F.lit("orders").alias("ledger_id"), "row_no", "input_hash")
+
+
+@query("source_commit_conflicts", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE {S_CHANGED}")
+def source_commit_conflicts(spark, sf):
+    return H.conflicts(order_inputs(spark, sf), changed_orders(spark, sf)).select("row_no")
+
+
+@query("first_conflict", f"SELECT min(o_orderkey + 1)::BIGINT AS row_no FROM orders WHERE {S_CHANGED} HAVING count(*) > 0")
+def first_conflict(spark, sf):
+    return H.first_conflict(order_inputs(spark, sf), changed_orders(spark, sf)).select("row_no")
+
+
+@query(
+    "sync_status",
+    f"""WITH s AS (SELECT count(*)::BIGINT AS n, min(CASE WHEN {S_CHANGED} THEN o_orderkey + 1 END)::BIGINT AS f FROM orders)
+    SELECT 'complete' AS ledger_id, n AS committed, n AS available, 'COMPLETE' AS state, NULL::BIGINT AS fork_row, n AS valid_rows FROM s
+    UNION ALL SELECT 'forked', n, n, 'FORKED', f, f - 1 FROM s
+    UNION ALL SELECT 'pending', 100, n, 'PENDING', NULL, 100 FROM s
+    UNION ALL SELECT 'trimmed', n, 100, 'TRIMMED', NULL, 100 FROM s""",
+)
+def sync_status(spark, sf):
+    own, changed = order_inputs(spark, sf), changed_orders(spark, sf)
+    named = lambda df, name: df.withColumn("ledger_id", F.lit(name))
+    few = own.where("row_no <= 100")
+    committed = named(own, "complete").unionByName(named(own, "forked")).unionByName(named(few, "pending")).unionByName(named(own, "trimmed"))
+    source = named(own, "complete").unionByName(named(changed, "forked")).unionByName(named(own, "pending")).unionByName(named(few, "trimmed"))
+    return H.sync_status(committed, source)
+
+
+@query("rollback_to_valid", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey + 1 < (SELECT min(o_orderkey + 1) FROM orders WHERE {S_CHANGED})")
+def rollback_to_valid(spark, sf):
+    own = order_inputs(spark, sf)
+    valid = H.sync_status(own, changed_orders(spark, sf)).where("state = 'FORKED'").select("ledger_id", F.col("valid_rows").alias("size"))
+    return H.trim(own, valid).select("row_no")
+
+
+@query("sampled_conflicts", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE {S_CHANGED}")
+def sampled_conflicts(spark, sf):
+    return H.sample_conflicts(order_inputs(spark, sf), changed_orders(spark, sf), 2.0).select("row_no")
+
+
+# Paths ---------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "skip_paths_to_end",
+    """WITH RECURSIVE n AS (SELECT max(o_orderkey + 1) AS hi FROM orders),
+    p AS (SELECT o_orderkey + 1 AS low, hi AS high, hi AS row_no FROM orders, n WHERE (o_orderkey + 1) % 97 = 1
+          UNION ALL SELECT low, high, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
+    SELECT low, high, (count(*) OVER (PARTITION BY low, high) - row_number() OVER (PARTITION BY low, high ORDER BY row_no DESC))::INTEGER AS step, row_no FROM p""",
+)
+def skip_paths_to_end(spark, sf):
+    orders = orders_ledger(spark, sf).select("row_no")
+    hi = orders.agg(F.max("row_no").alias("high"))
+    return P.skip_paths(orders.where("row_no % 97 = 1").select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
+
+
+S_RESTRICTED = "SELECT DISTINCT l_suppkey AS k, l_orderkey + 1 AS row_no FROM lineitem WHERE l_quantity >= 49"
+
+
+@query("coverage_of_rows", f"SELECT k, row_no FROM ({S_RESTRICTED}) UNION SELECT k, row_no - (1::BIGINT << level) FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_RESTRICTED}))")
+def coverage_of_rows(spark, sf):
+    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
+    return P.covered_numbers(rows, ("k",))
+
+
+@query("ref_only_rows", f"SELECT * FROM (SELECT k, row_no - (1::BIGINT << level) AS row_no FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_RESTRICTED}))) WHERE row_no > 0 EXCEPT SELECT k, row_no FROM ({S_RESTRICTED})")
+def ref_only_rows(spark, sf):
+    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
+    return P.reference_numbers(rows, ("k",))
+
+
+@query(
+    "stitched_rows",
+    f"""WITH RECURSIVE t AS ({S_RESTRICTED}),
+    q AS (SELECT k, coalesce(lag(row_no) OVER (PARTITION BY k ORDER BY row_no), row_no) AS low, row_no FROM t),
+    p AS (SELECT k, low, row_no FROM q UNION ALL SELECT k, low, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
+    SELECT DISTINCT k, row_no FROM p""",
+)
+def stitched_rows(spark, sf):
+    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no"))
+    return P.stitched(rows, ("k",))
+
+
+@query("link_levels", "SELECT low, high, CASE WHEN high = low THEN -1 WHEN high > low AND bit_count(high - low) = 1 AND (high - low) <= (high & -high) THEN bit_count((high - low) - 1) ELSE -2 END::INTEGER AS level FROM (SELECT DISTINCT l_partkey + 1 AS low, l_orderkey + 1 AS high FROM lineitem)")
+def link_levels(spark, sf):
+    pairs = load(spark, sf, "lineitem").select((F.col("l_partkey") + 1).alias("low"), (F.col("l_orderkey") + 1).alias("high")).distinct()
+    return P.links(pairs)
+
+
+@query("state_path_orders", "SELECT true AS ok, 1::BIGINT AS lo, max(o_orderkey + 1)::BIGINT AS hi FROM orders")
+def state_path_orders(spark, sf):
+    return P.verify_paths(P.state_path(order_chain(spark, sf))).select("ok", "lo", "hi")
+
+
+@query("path_compare_fork", f"{S_CHAIN} SELECT 16::BIGINT AS common_no, 17::BIGINT AS conflict_no, 17::BIGINT AS fork_no")
+def path_compare_fork(spark, sf):
+    inputs = nation_inputs(spark, sf)
+    other = inputs.withColumn("input_hash", F.when(F.col("row_no") >= 17, C.sha256("input_hash")).otherwise(F.col("input_hash")))
+    one, two = (H.work.written(H.fold(i), "fork") for i in (inputs, other))
+    return P.compare(P.path_of(one, [1, 17, 25]), P.path_of(two, [1, 17, 25]))
+
+
+@query("path_merge", "SELECT unnest([1, 2, 4, 8, 16, 18, 20, 24, 25])::BIGINT AS row_no, true AS ok")
+def path_merge(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    merged = P.merge(P.path_of(chain, [1, 18, 20]), P.path_of(chain, [16, 25]))
+    ok = P.verify_paths(P.path_of(chain, [1, 18, 20, 25])).select("ok")
+    return merged.select("row_no").crossJoin(F.broadcast(ok))
+
+
+@query("path_authorities", "SELECT * FROM (VALUES ('b', 25::BIGINT), ('c', 21::BIGINT)) v(path_id, hi)")
+def path_authorities(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    paths = P.path_of(chain, [1, 24], "a").unionByName(P.path_of(chain, [1, 25], "b")).unionByName(P.path_of(chain, [1, 21], "c"))
+    return P.authorities(paths)
+
+
+@query("condensed_path", "SELECT r::BIGINT AS row_no, true AS ok FROM (SELECT unnest([1, 2, 4, 8, 16, 24, 25]) AS r)")
+def condensed_path(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf), "v06"), "nation-chain-v06")
+    return P.verify_condensed(P.condensed(P.path_of(chain, [1, 25]))).select("row_no", "ok")
+
+
+# Joins ---------------------------------------------------------------------------------------------------------------
+
+
+@query("foreign_ref_check", "SELECT c_custkey AS from_row, c_nationkey::BIGINT AS to_row, EXISTS (SELECT 1 FROM nation WHERE n_nationkey = c_nationkey) AS ok FROM customer")
+def foreign_ref_check(spark, sf):
+    customer, nation = load(spark, sf, "customer"), load(spark, sf, "nation")
+    cells = O.long_cells(customer.withColumn("ledger_id", F.lit("customer")), ["c_name", "c_nationkey"], row="c_custkey", keys=("ledger_id",))
+    cells = cells.unionByName(O.long_cells(nation.withColumn("ledger_id", F.lit("nation")).withColumn("key", F.col("n_nationkey").cast("long")), ["n_nationkey", "n_name"], row="key", keys=("ledger_id",)))
+    refs = customer.select(F.lit("customer").alias("from_ledger"), F.col("c_custkey").alias("from_row"), F.lit(1).alias("from_col"), F.lit("nation").alias("to_ledger"), F.col("c_nationkey").cast("long").alias("to_row"), F.lit(0).alias("to_col"))
+    return J.check_references(refs, cells).select("from_row", "to_row", "ok")
+
+
+@query("foreign_row_and_hash_refs", "SELECT n_nationkey::BIGINT AS from_row, c::INTEGER AS to_col, (c = -1 OR n_nationkey % 2 = 0) AS ok FROM nation, (VALUES (-1), (-2)) v(c)")
+def foreign_row_and_hash_refs(spark, sf):
+    nation = load(spark, sf, "nation").withColumn("key", F.col("n_nationkey").cast("long"))
+    commits = O.with_input_hash(nation, ["n_name"]).select(F.lit("a").alias("ledger_id"), F.col("key").alias("row_no"), F.col("input_hash").alias("row_hash"))
+    cells = O.long_cells(nation.withColumn("ledger_id", F.lit("a")), ["n_name", "n_regionkey"], row="key", keys=("ledger_id",))
+    copies = cells.withColumn("ledger_id", F.lit("b"))
+    held = commits.select(F.lit("h").alias("ledger_id"), "row_no", F.lit(0).alias("idx"), F.when(F.col("row_no") % 2 == 0, F.col("row_hash")).otherwise(F.lit(b"x")).alias("data"))
+    every = cells.unionByName(copies).select("ledger_id", "row_no", "idx", "data").unionByName(held)
+    ref = lambda f, fc, tc: nation.select(F.lit(f).alias("from_ledger"), F.col("key").alias("from_row"), F.lit(fc).alias("from_col"), F.lit("a").alias("to_ledger"), F.col("key").alias("to_row"), F.lit(tc).alias("to_col"))
+    return J.check_references(ref("b", -1, -1).unionByName(ref("h", 0, -2)), every, commits).select("from_row", "to_col", "ok")
+
+
+@query("reduce_semi_join", "SELECT 'orders' AS ledger_id, o_orderkey AS row_no FROM orders UNION ALL SELECT 'customer', c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def reduce_semi_join(spark, sf):
+    orders, customer = load(spark, sf, "orders"), load(spark, sf, "customer")
+    rows = orders.select(F.lit("orders").alias("ledger_id"), F.col("o_orderkey").alias("row_no")).unionByName(customer.select(F.lit("customer").alias("ledger_id"), F.col("c_custkey").alias("row_no")))
+    refs = orders.select(F.lit("orders").alias("from_ledger"), F.col("o_orderkey").alias("from_row"), F.lit("customer").alias("to_ledger"), F.col("o_custkey").alias("to_row"))
+    return J.reduce_rows(rows, refs, ["orders"])
+
+
+S_WITNESS = "SELECT event_id + 1 AS row_no, epoch_us(ts) // 1000 AS utc FROM events WHERE event_type = 'purchase'"
+
+
+def witnesses(spark, sf):
+    events = load(spark, sf, "events")
+    return events.where("event_type = 'purchase'").select((F.col("event_id") + 1).alias("row_no"), C.utc_millis(F.col("ts"), events.schema["ts"].dataType).alias("utc"))
+
+
+@query("nearest_witness_asof", f"SELECT e.event_id + 1 AS row_no, (SELECT min(row_no) FROM ({S_WITNESS}) w WHERE w.row_no >= e.event_id + 1) AS near_row_no FROM events e")
+def nearest_witness_asof(spark, sf):
+    targets = load(spark, sf, "events").select((F.col("event_id") + 1).alias("row_no"))
+    return J.next_record(targets, witnesses(spark, sf)).select("row_no", "near_row_no")
+
+
+@query("nearest_checkpoint_asof", "SELECT l_orderkey AS row_no, l_linenumber, (l_orderkey // 64) * 64 AS near_row_no FROM lineitem")
+def nearest_checkpoint_asof(spark, sf):
+    targets = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("row_no"), "l_linenumber")
+    saved = load(spark, sf, "orders").where("o_orderkey % 64 = 0").select(F.col("o_orderkey").alias("row_no"))
+    return J.previous_record(targets, saved)
+
+
+@query("witness_thinning", f"SELECT row_no, utc FROM (SELECT *, lag(utc) OVER (ORDER BY row_no) AS b FROM ({S_WITNESS})) WHERE b IS NULL OR floor(utc / 10000000) <> floor(b / 10000000)")
+def witness_thinning(spark, sf):
+    return J.thin_witnesses(witnesses(spark, sf), 10_000_000)
+
+
+@query("witness_rows", "SELECT o_orderkey + 1 AS row_no FROM orders WHERE (o_orderkey + 1) % 64 = 0 UNION SELECT max(o_orderkey + 1) FROM orders")
+def witness_rows(spark, sf):
+    return J.witness_rows(orders_ledger(spark, sf).select(F.lit("orders").alias("ledger_id"), "row_no"), 6).select("row_no")
+
+
+@query("notary_monotone", "SELECT u AS ledger_id, c AS chain_id, row_no, utc FROM (SELECT *, min(utc) OVER (PARTITION BY u, c ORDER BY row_no DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM (SELECT user_id AS u, event_type AS c, event_id % 50 AS row_no, min(epoch_us(ts) // 1000) AS utc FROM events GROUP BY ALL)) WHERE above IS NULL OR utc < above")
+def notary_monotone(spark, sf):
+    events = load(spark, sf, "events")
+    records = events.select(F.col("user_id").alias("ledger_id"), F.col("event_type").alias("chain_id"), (F.col("event_id") % 50).alias("row_no"), C.utc_millis(F.col("ts"), events.schema["ts"].dataType).alias("utc"))
+    return J.notary_monotone(records)
+
+
+@query("notary_check", "SELECT event_id AS row_no, event_type <> 'click' AS ok FROM events")
+def notary_check(spark, sf):
+    events = load(spark, sf, "events")
+    utc = C.utc_millis(F.col("ts"), events.schema["ts"].dataType)
+    hashed = events.select(F.lit("e").alias("ledger_id"), F.col("event_id").alias("row_no"), utc.alias("utc"), C.sha256(C.long_bytes(F.col("event_id"))).alias("row_hash"), "event_type")
+    claimed = hashed.withColumn("row_hash", F.when(F.col("event_type") == "click", F.lit(C.SENTINEL)).otherwise(F.col("row_hash"))).withColumn("chain_id", F.lit("t"))
+    return J.notary_check(claimed.select("ledger_id", "chain_id", "row_no", "utc", "row_hash"), hashed.select("ledger_id", "row_no", "row_hash")).select("row_no", "ok")
+
+
+# Queries and reports -------------------------------------------------------------------------------------------------
+
+TREE = json.dumps({"predTree": {"op": "AND", "sub": [{"rowPredicate": {"leftFunc": {"funcRowCols": [{"idx": 0, "rcn": 3}]}, "op": ">", "rightNum": {"arg": "min"}}}, {"op": "OR", "sub": [{"rowPredicate": {"leftFunc": {"funcRowCols": [{"idx": 0, "rcn": 0}]}, "op": "<=", "rightNum": 1000}}, {"rowPredicate": {"leftNum": {"arg": "total"}, "op": "<", "rightFunc": {"funcRowCols": [{"idx": 0, "rcn": 5}, {"idx": 1, "rcn": 6}], "func": {"op": "*", "sub": [{"val": "arg"}, {"op": "-", "sub": [{"val": 1}, {"val": "arg"}]}]}}}}]}, {"rowPredicate": {"leftFunc": {"funcRowCols": [{"idx": 0, "rcn": 1}], "func": {"op": "/", "sub": [{"val": "arg"}, {"val": 3}]}}, "op": ">=", "rightFunc": {"funcRowCols": [{"idx": 0, "rcn": 2}]}}}]}})
+LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag"]
+
+
+@query("query_predicate_tree", "SELECT l_orderkey AS row_no, l_partkey, l_suppkey, l_extendedprice FROM lineitem WHERE l_suppkey > 5 AND (l_orderkey <= 1000 OR 40000 < l_extendedprice * (1 - l_discount)) AND l_orderkey // 3 >= l_partkey")
+def query_predicate_tree(spark, sf):
+    lines = load(spark, sf, "lineitem").withColumn("row_no", F.col("l_orderkey"))
+    return Q.parse_query(TREE).select(lines, LINE, {"min": 5, "total": 40000}).select("row_no", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("query_inapplicable_is_false", "SELECT count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey <= 500")
+def query_inapplicable_is_false(spark, sf):
+    lines = load(spark, sf, "lineitem").withColumn("row_no", F.col("l_orderkey"))
+    text = Q.Compare(Q.RowFunc((7,)), ">=", 0)
+    absent = Q.Compare(Q.RowFunc((99,)), "<", 0)
+    small = Q.Compare(Q.RowFunc((0,)), "<=", Q.Param("hi", 500))
+    return Q.Query(Q.Branch("OR", (text, absent, small))).select(lines, LINE).agg(F.count("*").alias("n"))
+
+
+@query("report_sum_by_param", "SELECT sum(trunc(l_extendedprice)::BIGINT) // 2 AS plain, (SELECT sum(l_linenumber * l_suppkey)::BIGINT + 7 FROM lineitem WHERE l_partkey = 17) AS product FROM lineitem WHERE l_partkey = 17")
+def report_sum_by_param(spark, sf):
+    lines = load(spark, sf, "lineitem").withColumn("row_no", F.col("l_orderkey"))
+    chosen = Q.Query(Q.Compare(Q.RowFunc((2,)), "=", Q.Param("part"))).select(lines, LINE, {"part": 17})
+    plain = Q.total(chosen, LINE, 5, result=Q.Apply("/", (Q.Slot(0), 2))).select(F.col("total").alias("plain"))
+    product = Q.total(chosen, LINE, Q.RowFunc((4, 3), Q.Apply("*", (Q.Slot(0), Q.Slot(1)))), result=Q.Apply("+", (Q.Slot(0), 7))).select(F.col("total").alias("product"))
+    return plain.crossJoin(F.broadcast(product))
+
+
+@query("report_table", "SELECT r::INTEGER AS r, c::INTEGER AS c, CASE WHEN r = 0 AND c = 0 THEN 'first' WHEN r = 24 AND c = 1 THEN 'last' WHEN c = 0 THEN '#' || n_nationkey ELSE n_name || ', ' || n_regionkey END AS text FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS r FROM nation), (VALUES (0), (1)) v(c)")
+def report_table(spark, sf):
+    nation = load(spark, sf, "nation")
+    cells = [Q.formatted("number", F.col("n_nationkey"), prefix="#"), F.concat_ws(", ", F.col("n_name"), F.col("n_regionkey").cast("string"))]
+    return Q.report_table(nation, cells, order="n_nationkey", fixed={0: "first", -1: "last"})
+
+
+@query("sql_source", "SELECT row_number() OVER (ORDER BY s_suppkey) AS row_no, lower(hex(unhex(sha256(" + s_long("s_suppkey") + " || " + s_string("n_name") + ")))) AS input_hash FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def sql_source(spark, sf):
+    for name in ("supplier", "nation"):
+        load(spark, sf, name).createOrReplaceTempView(f"src_{name}")
+    ledger = S.sql_ledger(spark, "SELECT s_suppkey, n_name FROM src_supplier JOIN src_nation ON s_nationkey = n_nationkey", ["s_suppkey"])
+    return O.with_input_hash(ledger, ["s_suppkey", "n_name"]).select("row_no", low_hex("input_hash").alias("input_hash"))
+
+
+@query("table_preview", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 10")
+def table_preview(spark, sf):
+    return S.preview(load(spark, sf, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey"))
+
+
+# Logs ----------------------------------------------------------------------------------------------------------------
+
+S_LINES = """
+WITH parts AS (SELECT page_id, string_split(html, chr(10)) AS p FROM pages),
+kept AS (SELECT page_id, CASE WHEN p[-1] = '' THEN p[:len(p) - 1] ELSE p END AS k, p[-1] = '' AS ended FROM parts),
+each AS (SELECT page_id, unnest(k) AS line, unnest(range(1, len(k) + 1)) AS line_no, len(k) AS n, ended FROM kept),
+sized AS (SELECT *, strlen(line) + CASE WHEN line_no < n OR ended THEN 1 ELSE 0 END AS size FROM each),
+lines AS (SELECT page_id, line_no, line, size::BIGINT AS size, coalesce(sum(size) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM sized),
+rows AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_no) AS row_no FROM lines WHERE NOT starts_with(line, '<p') AND regexp_matches(line, '[^ \\f\\t\\r\\n]'))
+"""
+GRAMMAR = L.Grammar(comment="<p")
+
+
+def page_lines(spark, sf):
+    return L.lines(load(spark, sf, "pages").select("page_id", F.col("html").alias("content")), ("page_id",))
+
+
+def page_rows(spark, sf):
+    return L.rows(page_lines(spark, sf), GRAMMAR, ("page_id",))
+
+
+@query("log_lines", f"{S_LINES} SELECT page_id, line_no, \"offset\", size FROM lines")
+def log_lines(spark, sf):
+    return page_lines(spark, sf).select("page_id", "line_no", "offset", "size")
+
+
+@query("log_row_numbers", f"{S_LINES} SELECT page_id, row_no, line_no, line FROM rows")
+def log_row_numbers(spark, sf):
+    return page_rows(spark, sf).select("page_id", "row_no", "line_no", "line")
+
+
+@query("log_tokenize", f"{S_LINES} SELECT page_id, row_no, unnest(range(len(t)))::INTEGER AS idx, unnest(t) AS token FROM (SELECT *, list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS t FROM rows)")
+def log_tokenize(spark, sf):
+    return L.token_cells(page_rows(spark, sf), GRAMMAR, ("page_id",)).select("page_id", "row_no", "idx", F.decode("data", "UTF-8").alias("token"))
+
+
+@query(
+    "log_input_hash",
+    f"""{S_LINES} SELECT page_id, row_no, lower(hex(CASE WHEN len(h) = 0 THEN {S_SENTINEL} WHEN len(h) = 1 THEN h[1] ELSE unhex(sha256(list_reduce(h, lambda a, b: a || b))) END)) AS input_hash
+    FROM (SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''), lambda x: unhex(sha256(unhex('01') || encode(x)))) AS h FROM rows)""",
+)
+def log_input_hash(spark, sf):
+    return L.input_hashes(page_rows(spark, sf), GRAMMAR, ("page_id",)).select("page_id", "row_no", low_hex("input_hash").alias("input_hash"))
+
+
+@query("log_hash_stats", f"{S_LINES} SELECT count(*)::BIGINT AS n_rows, sum(len(list_filter(regexp_split_to_array(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')))::BIGINT AS n_tokens FROM rows")
+def log_hash_stats(spark, sf):
+    return L.hash_stats(page_rows(spark, sf), GRAMMAR)
+
+
+@query("log_offset_index", f"{S_LINES} SELECT page_id, row_no, \"offset\", \"offset\" + size AS end_offset FROM rows")
+def log_offset_index(spark, sf):
+    return L.offset_index(page_rows(spark, sf), ("page_id",))
+
+
+@query("log_chains", f"{S_LINES} SELECT page_id::VARCHAR AS ledger_id, count(*)::BIGINT AS n, true AS ok FROM rows GROUP BY page_id")
+def log_chains(spark, sf):
+    inputs = L.input_hashes(page_rows(spark, sf), GRAMMAR, ("page_id",)).select(F.col("page_id").cast("string").alias("ledger_id"), "row_no", "input_hash")
+    return H.verify(H.work.written(H.fold(inputs), "page-chains")).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
+
+
+@query("skip_counts_and_frontiers", f"SELECT row_no, (bit_count((row_no & -row_no) - 1) + 1)::INTEGER AS skips, list_transform(range(length(ltrim(bin(row_no), '0'))), lambda k: (row_no >> k) << k)::VARCHAR AS frontier FROM ({S_ORDERS})")
+def skip_counts_and_frontiers(spark, sf):
+    rows = orders_ledger(spark, sf).select("row_no")
+    frontier = F.concat(F.lit("["), F.array_join(R.frontier_col(F.col("row_no")), ", "), F.lit("]"))
+    return rows.select("row_no", R.skip_count_col(F.col("row_no")).alias("skips"), frontier.alias("frontier"))
