@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Levels of a tree over at most 64 leaves: a row number of 63 bits has no more pointers.
@@ -48,12 +48,17 @@ def root_from(leaf: bytes, index: int, count: int, proof: list[bytes]) -> bytes:
     return node
 
 
-def with_root(df: DataFrame, array: str, name: str) -> DataFrame:
-    """df with the root of a column of hash arrays (of at most 64), layer by layer in expressions."""
+def root_col(leaves: Column) -> Column:
+    """root() of an array of at most 64 hashes (null for none). Each layer is bound once, so the expression stays small however
+    the plan moves it."""
     sha = lambda data: F.unhex(F.sha2(data, 256))
-    out = df.withColumn("_layer", F.transform(array, lambda h: sha(F.concat(F.lit(b"\0"), h))))
+
+    def above(layer: Column) -> Column:
+        at = lambda i: F.try_element_at(layer, i)
+        pair = lambda k: F.when(F.size(layer) < 2 * k, at(2 * k - 1)).otherwise(sha(F.concat(F.lit(b"\1"), at(2 * k - 1), at(2 * k))))
+        return F.when(F.size(layer) > 1, F.transform(F.sequence(F.lit(1), F.ceil(F.size(layer) / 2).cast("int")), pair)).otherwise(layer)
+
+    layer = F.transform(leaves, lambda h: sha(F.concat(F.lit(b"\0"), h)))
     for _ in range(ROUNDS):
-        at = lambda i: F.try_element_at(F.col("_layer"), i)
-        pair = lambda k: F.when(at(2 * k).isNull(), at(2 * k - 1)).otherwise(sha(F.concat(F.lit(b"\1"), at(2 * k - 1), at(2 * k))))
-        out = out.withColumn("_layer", F.when(F.size("_layer") > 1, F.transform(F.sequence(F.lit(1), F.ceil(F.size("_layer") / 2).cast("int")), pair)).otherwise(F.col("_layer")))
-    return out.withColumn(name, F.try_element_at("_layer", F.lit(1))).drop("_layer")
+        layer = F.transform(F.array(layer), above)[0]
+    return F.try_element_at(layer, F.lit(1))

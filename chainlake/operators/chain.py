@@ -123,8 +123,7 @@ def verify(chain: DataFrame, scheme: str = "v05") -> DataFrame:
     rows = with_pointers(chain)
     flat = F.unhex(F.array_join(F.transform("pointers", lambda h: F.hex(h)), ""))
     if scheme == "v06":
-        rows = merkle.with_root(rows, "pointers", "_root")
-        flat = F.when(F.size("pointers") == 1, flat).otherwise(F.col("_root"))
+        flat = F.when(F.size("pointers") == 1, flat).otherwise(merkle.root_col(F.col("pointers")))
     elif scheme not in SCHEMES:
         raise ValueError(f"no scheme {scheme!r}")
     ok = F.coalesce(C.sha256(F.concat("input_hash", flat)) == F.col("row_hash"), F.lit(False))

@@ -75,8 +75,7 @@ def verify_paths(paths: DataFrame, scheme: str = "v05") -> DataFrame:
     flat = F.unhex(F.array_join(F.transform("pointers", lambda h: F.hex(h)), ""))
     rows = paths
     if scheme == "v06":
-        rows = H.merkle.with_root(rows, "pointers", "_root")
-        flat = F.when(F.size("pointers") == 1, flat).otherwise(F.col("_root"))
+        flat = F.when(F.size("pointers") == 1, flat).otherwise(H.merkle.root_col(F.col("pointers")))
     by_path = Window.partitionBy("path_id").orderBy("row_no")
     rows = rows.withColumn("before", F.lag("row_no").over(by_path))
     sound = (C.sha256(F.concat("input_hash", flat)) == F.col("row_hash")) & (F.size("pointers") == R.skip_count_col(F.col("row_no")))
