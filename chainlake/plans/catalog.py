@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions import cells as C
+from chainlake.functions import cells05 as OLD
 from chainlake.functions import rownumbers as R
 from chainlake.operators import chain as H
 from chainlake.operators import joins as J
 from chainlake.operators import paths as P
 from chainlake.operators import query as Q
 from chainlake.operators import rows as O
+from chainlake.plans.registry import Registry, Rights
+from chainlake.sources import codecs as K
 from chainlake.sources import logs as L
 from chainlake.sources import sql as S
 
@@ -630,3 +633,123 @@ def skip_counts_and_frontiers(spark, sf):
     rows = orders_ledger(spark, sf).select("row_no")
     frontier = F.concat(F.lit("["), F.array_join(R.frontier_col(F.col("row_no")), ", "), F.lit("]"))
     return rows.select("row_no", R.skip_count_col(F.col("row_no")).alias("skips"), frontier.alias("frontier"))
+
+
+# Older cells, round trips and the rest --------------------------------------------------------------------------------
+
+
+def s_old(x: str, data: str, column: int, salted: bool) -> str:
+    plain = f"CASE WHEN {x} IS NULL THEN {S_SENTINEL} ELSE unhex(sha256({data})) END"
+    salt = f"unhex(sha256(unhex('{SEED.hex()}') || {S_LONG('(n_nationkey + 1)')} || unhex('{column:016x}')))"
+    return f"unhex(sha256({salt} || {plain}))" if salted else plain
+
+
+S_OLD = [("n_nationkey", S_LONG("n_nationkey::BIGINT")), ("n_name", "unhex(printf('%08x', octet_length(encode(n_name)))) || encode(n_name)"), ("n_regionkey", S_LONG("n_regionkey::BIGINT"))]
+S_OLD_ROW = lambda salted: "lower(hex(unhex(sha256(" + " || ".join(s_old(x, d, i, salted) for i, (x, d) in enumerate(S_OLD, 1)) + "))))"
+
+
+@query("older_row_hash", f"SELECT n_nationkey::BIGINT + 1 AS row_no, {S_OLD_ROW(False)} AS plain, {S_OLD_ROW(True)} AS salted FROM nation")
+def older_row_hash(spark, sf):
+    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
+    plain = OLD.with_input_hash(nation, NATION, name="plain")
+    return OLD.with_input_hash(plain, NATION, seed=SEED, name="salted").select("row_no", low_hex("plain").alias("plain"), low_hex("salted").alias("salted"))
+
+
+@query("covered_row_lookup", f"SELECT row_no FROM ({S_ORDERS}) WHERE row_no = 768 OR (row_no > 768 AND bit_count(row_no - 768) = 1 AND row_no - 768 <= (row_no & -row_no))")
+def covered_row_lookup(spark, sf):
+    return orders_ledger(spark, sf).select("row_no").where(P.covering(F.col("row_no"), 768))
+
+
+@query("path_intersect", "SELECT unnest([4, 6, 7, 8])::BIGINT AS row_no")
+def path_intersect(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    return P.common_rows(P.path_of(chain, [7, 8]), P.path_of(chain, [4, 8]))
+
+
+@query("highest_common_row", "SELECT 25::BIGINT AS common_no, NULL::BIGINT AS conflict_no, NULL::BIGINT AS fork_no")
+def highest_common_row(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    return P.compare(P.path_of(chain, [1, 25]), P.path_of(chain, [17, 25]))
+
+
+@query("commit_twice", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
+def commit_twice(spark, sf):
+    path = f"{H.work.folder(spark)}/commits-{H.work.uuid.uuid4().hex}"
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    for part in (chain.where("row_no <= 12"), chain, chain):
+        H.append(path, part)
+    return spark.read.schema(H.CHAIN).parquet(path).select("row_no", low_hex("row_hash").alias("row_hash"))
+
+
+@query("incremental_sync", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
+def incremental_sync(spark, sf):
+    """Seven rows a step until the source and the chain are even."""
+    inputs = H.work.written(nation_inputs(spark, sf), "nation-inputs")
+    path = f"{H.work.folder(spark)}/sync-{H.work.uuid.uuid4().hex}"
+    chain = spark.createDataFrame([], H.CHAIN)
+    while H.append(path, H.extend(chain, inputs, max_rows=7)):
+        chain = spark.read.schema(H.CHAIN).parquet(path)
+    return chain.select("row_no", low_hex("row_hash").alias("row_hash"))
+
+
+@query("path_pack_round_trip", f"{S_CHAIN} SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold WHERE r IN (3, 4, 8, 16, 20, 22, 23)")
+def path_pack_round_trip(spark, sf):
+    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
+    rows = K.read_path_pack(K.write_path_pack(P.path_of(chain, [3, 20, 23])))
+    return spark.createDataFrame([(r, i.hex(), h.hex()) for r, i, h, _ in rows], "row_no long, input_hash string, row_hash string")
+
+
+@query("source_pack_round_trip", f"SELECT n_nationkey::BIGINT + 1 AS row_no, lower(hex({S_NATION_ROW})) AS input_hash FROM nation")
+def source_pack_round_trip(spark, sf):
+    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
+    cells = O.redact(O.long_cells(nation, NATION), (F.col("idx") == 1) & (F.col("row_no") % 2 == 0))
+    rows, scheme = K.read_source_pack(K.write_source_pack(K.rows_of(cells)))
+    return spark.createDataFrame([(r.no, r.input_hash(scheme).hex()) for r in rows], "row_no long, input_hash string")
+
+
+@query("json_round_trip", "SELECT n_nationkey::BIGINT + 1 AS row_no, 1 AS idx, n_name AS value FROM nation")
+def json_round_trip(spark, sf):
+    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
+    return K.json_rows(O.as_json(O.long_cells(nation, NATION))).where("idx = 1").select("row_no", "idx", "value")
+
+
+@query("chain_listing", f"SELECT row_no, o_custkey FROM ({S_ORDERS}) ORDER BY row_no DESC LIMIT 10 OFFSET 5")
+def chain_listing(spark, sf):
+    return orders_ledger(spark, sf).select("row_no", "o_custkey").orderBy(F.desc("row_no")).offset(5).limit(10)
+
+
+@query("epoch_seed_lookup", "SELECT o_orderkey + 1 AS row_no, CASE WHEN o_orderkey + 1 >= 500 THEN 2 ELSE 1 END AS epoch FROM orders")
+def epoch_seed_lookup(spark, sf):
+    seeded = J.with_epoch_seed(orders_ledger(spark, sf), [(1, SEED), (500, SEED2)])
+    return seeded.select("row_no", F.when(F.col("seed") == F.lit(SEED2), 2).otherwise(1).alias("epoch"))
+
+
+@query("rename_ledgers", "SELECT CASE r_name WHEN 'ASIA' THEN 'EAST' ELSE r_name END AS ledger_id, r_regionkey FROM region")
+def rename_ledgers(spark, sf):
+    return J.rename_ledgers(load(spark, sf, "region").select(F.col("r_name").alias("ledger_id"), "r_regionkey"), {"ASIA": "EAST"})
+
+
+@query("witness_zip", "SELECT event_id AS position, event_id + 1 AS row_no, epoch_us(ts) // 1000 AS utc, event_type <> 'click' AS ok FROM events")
+def witness_zip(spark, sf):
+    events = load(spark, sf, "events")
+    own = C.sha256(C.long_bytes(F.col("event_id")))
+    records = events.select(F.col("event_id").alias("position"), C.utc_millis(F.col("ts"), events.schema["ts"].dataType).alias("utc"), F.when(F.col("event_type") == "click", F.lit(C.SENTINEL)).otherwise(own).alias("hash"))
+    return J.witness_zip(records, events.select(F.col("event_id").alias("position"), (F.col("event_id") + 1).alias("row_no"), own.alias("row_hash")))
+
+
+@query("key_neighbours", "SELECT * FROM (VALUES ('customer', 'referred'), ('lineitem', 'dependent')) v(name, side)")
+def key_neighbours(spark, sf):
+    keys = [("orders", "customer"), ("lineitem", "orders"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region")]
+    return S.neighbours(spark.createDataFrame(keys, "from_table string, to_table string"), "orders")
+
+
+@query("chain_registry", "SELECT 2::BIGINT AS chain_id, 'second' AS name, false AS defined, 2::BIGINT AS epochs")
+def chain_registry(spark, sf):
+    registry = Registry(spark, f"{H.work.folder(spark)}/registry-{H.work.uuid.uuid4().hex}", Rights(delete=True))
+    first, second = registry.create("first"), registry.create("other", uri="u:2")
+    registry.define(first, "SELECT max(k) FROM t", "SELECT * FROM t WHERE k = ?")
+    registry.add_epoch(second, 1, SEED)
+    registry.add_epoch(second, 500, SEED2)
+    registry.update(second, name="second")
+    registry.delete(first)
+    return registry.states()

@@ -137,3 +137,19 @@ def test_merkle(spark):
 def test_funnel_lengths(row):
     leaves = [bytes([i]) for i in range(R.skip_count(row))]
     assert all(R.funnel_length(row, k) == len(merkle.funnel(leaves, k)) for k in range(len(leaves)))
+
+
+def test_older_cells(spark):
+    import struct
+
+    from chainlake.functions import cells05 as OLD
+
+    df = spark.createDataFrame([(1, "é", 2.5, b"xy", -3), (2, None, None, None, None)], "row_no long, s string, d double, b binary, n int")
+    names, seed = ["s", "d", "b", "n"], b"z" * 32
+    for r in OLD.with_input_hash(OLD.with_input_hash(df, names), names, seed=seed, name="salted").collect():
+        own = [sha(struct.pack(">i", len(x)) + x) for x in ("é".encode(), b"xy")]
+        plain = [own[0], sha(struct.pack(">d", 2.5)), own[1], sha(struct.pack(">q", -3))] if r.row_no == 1 else [bytes(32)] * 4
+        salted = [sha(sha(seed + struct.pack(">qq", r.row_no, i)) + h) for i, h in enumerate(plain, 1)]
+        assert bytes(r.input_hash) == sha(b"".join(plain)) and bytes(r.salted) == sha(b"".join(salted))
+    one = OLD.with_input_hash(df.select("row_no", "n"), ["n"]).where("row_no = 1").first()
+    assert bytes(one.input_hash) == sha(sha(struct.pack(">q", -3)))
