@@ -43,12 +43,14 @@ def let(value: Column, use) -> Column:
 def minimal_hex(value: Column) -> Column:
     """Hex of the shortest two's complement bytes of a long."""
 
-    def shortest(raw: Column) -> Column:
-        # 16 digits start with 8 or more if the value is negative; then every FF in front of such a byte says nothing
-        negative = F.regexp_replace(raw, "^(?:FF)+(?=[89A-F][0-9A-F])", "")
-        return F.when(raw >= "8", negative).otherwise(F.regexp_replace(raw, "^(?:00)+(?=[0-7][0-9A-F])", ""))
-
-    return let(F.lpad(F.hex(value), 16, "0"), shortest)
+    def shortest(v: Column) -> Column:
+        # a first digit of 8 or more would say that the number is negative
+        positive = let(F.hex(v), lambda raw: F.when(F.length(raw) % 2 == 1, F.concat(F.lit("0"), raw)).when(raw >= "8", F.concat(F.lit("00"), raw)).otherwise(raw))
+        # every FF in front of a byte that is negative by itself says nothing
+        negative = F.regexp_replace(F.hex(v), "^(?:FF)+(?=[89A-F][0-9A-F])", "")
+        return F.when(v < 0, negative).otherwise(positive)
+
+    return let(value, shortest)
 
 
 def decimal_bytes(value: Column, kind: T.DecimalType) -> Column:
