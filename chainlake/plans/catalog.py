@@ -538,7 +538,7 @@ def query_inapplicable_is_false(spark, sf):
     return Q.Query(Q.Branch("OR", (text, absent, small))).select(lines, LINE).agg(F.count("*").alias("n"))
 
 
-@query("report_sum_by_param", "SELECT sum(trunc(l_extendedprice)::BIGINT) // 2 AS plain, (SELECT sum(l_linenumber * l_suppkey)::BIGINT + 7 FROM lineitem WHERE l_partkey = 17) AS product FROM lineitem WHERE l_partkey = 17")
+@query("report_sum_by_param", "SELECT (sum(trunc(l_extendedprice)::BIGINT) // 2)::BIGINT AS plain, (SELECT sum(l_linenumber * l_suppkey)::BIGINT + 7 FROM lineitem WHERE l_partkey = 17) AS product FROM lineitem WHERE l_partkey = 17")
 def report_sum_by_param(spark, sf):
     lines = load(spark, sf, "lineitem").withColumn("row_no", F.col("l_orderkey"))
     chosen = Q.Query(Q.Compare(Q.RowFunc((2,)), "=", Q.Param("part"))).select(lines, LINE, {"part": 17})
