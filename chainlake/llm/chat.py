@@ -31,6 +31,11 @@ TYPES = {"string": "STRING", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number"
 ANSWER = (("answer", "prompt", "string", True), ("answer", "turn", "integer", True), ("answer", "max_words", "integer", False))
 
 
+def _spread(key):
+    """A join key for rows that may have none: instead of null, which all meet in one task, a value of their own that no key equals."""
+    return F.coalesce(key, F.concat(F.lit("-"), F.xxhash64("conv_id", "turn", "json").cast("string")))
+
+
 def _key(conversation, identifier):
     return F.when(identifier.isNotNull(), F.to_json(F.struct(conversation.alias("c"), identifier.alias("i"))))
 
@@ -114,10 +119,10 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     placed = _places(nodes, edges).withColumnRenamed("node", "place_of")
     absent = wants.where("needs is null").groupBy(F.col("k").alias("absent_k")).agg(F.transform(F.collect_set("wanted"), lambda w: F.concat(F.lit("needs an absent call: "), w)).alias("absent"))
 
-    out = checked.join(pairs.select("pair", "call_n", "result_n"), F.col("k") == F.col("pair"), "left")
-    out = out.join(absent, F.when(F.col("kind") == "call", F.col("k")) == F.col("absent_k"), "left")
+    out = checked.join(pairs.select("pair", "call_n", "result_n"), _spread(F.col("k")) == F.col("pair"), "left")
+    out = out.join(absent, _spread(F.when(F.col("kind") == "call", F.col("k"))) == F.col("absent_k"), "left")
     node = F.when(F.col("kind") == "call", F.concat(F.lit("c"), "k")).when(F.col("kind") == "result", F.concat(F.lit("r"), "k"))
-    out = out.join(placed, node == F.col("place_of"), "left")
+    out = out.join(placed, _spread(node) == F.col("place_of"), "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own, other = F.when(is_call, F.col("call_n")).otherwise(F.col("result_n")), F.when(is_call, F.col("result_n")).otherwise(F.col("call_n"))
     say = lambda when, what: F.when(when, F.lit(what))
