@@ -126,6 +126,34 @@ def type_byte(code: Column) -> Column:
     return F.unhex(F.lpad(F.hex(code.cast("long")), 2, "0"))
 
 
+def hashed_bytes(value: Column, kind: T.DataType, name: str = "") -> Column:
+    """Type byte and canonical bytes in one expression with one test for null: the plan stays half as large as by typed()."""
+    if isinstance(kind, T.NullType):
+        return F.lit(bytes([NULL]) + NULL_BYTES)
+    solid = {T.StringType: STRING, T.DecimalType: BIG_DEC, T.BooleanType: BOOL, T.DateType: DATE, T.TimestampType: DATE, T.TimestampNTZType: DATE}
+    code = LONG if isinstance(kind, T.IntegralType) else next((c for t, c in solid.items() if isinstance(kind, t)), None)
+    data = _plain_bytes(value, kind, name)
+    first = F.lit(bytes([code])) if code is not None else F.when(F.octet_length(value) == 32, F.lit(bytes([HASH]))).otherwise(F.lit(bytes([BYTES])))
+    return F.coalesce(F.concat(first, data), F.lit(bytes([NULL]) + NULL_BYTES))
+
+
+def _plain_bytes(value: Column, kind: T.DataType, name: str) -> Column:
+    """The canonical bytes, null for null."""
+    if isinstance(kind, T.StringType):
+        return F.encode(value, "UTF-8")
+    if isinstance(kind, T.IntegralType):
+        return long_bytes(value)
+    if isinstance(kind, T.DecimalType):
+        return decimal_bytes(value, kind)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return long_bytes(utc_millis(value, kind))
+    if isinstance(kind, T.BooleanType):
+        return F.when(value, F.lit(b"\x01")).when(~value, F.lit(b"\x00"))
+    if isinstance(kind, T.BinaryType):
+        return value
+    raise TypeError(f"column {name!r} of type {kind.simpleString()} can't be a cell; cast it to a decimal, string or binary first")
+
+
 def row_salt(seed: Column, row_no: Column) -> Column:
     """SHA-256 of the row number, the seed and the row number's complement."""
     return sha256(F.concat(long_bytes(row_no), seed, long_bytes(F.bitwise_not(row_no.cast("long")))))
@@ -174,5 +202,7 @@ def cells_of(df: DataFrame, columns: list[str], scheme: SaltScheme = NO_SALT, sa
     for i, name in enumerate(columns):
         code, data = typed(F.col(name), df.schema[name].dataType, name)
         own = cell_salt(F.col(salt), i) if salt and scheme.salted(i) else None
-        out.append(F.struct(code.cast("tinyint").alias("type"), data.alias("data"), (own if own is not None else F.lit(None).cast("binary")).alias("salt"), cell_hash(code, data, own).alias("hash")))
+        plain = hashed_bytes(F.col(name), df.schema[name].dataType, name)
+        hash_ = sha256(plain if own is None else F.concat(own, plain))
+        out.append(F.struct(code.cast("tinyint").alias("type"), data.alias("data"), (own if own is not None else F.lit(None).cast("binary")).alias("salt"), hash_.alias("hash")))
     return out

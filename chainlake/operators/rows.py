@@ -13,6 +13,13 @@ from chainlake.functions import cells as C
 from chainlake.sources.work import written
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table read from files, dealt out anew if it has fewer partitions than there are cores (one small file is one partition).
+    Large tables have more and stay as they are, without a shuffle."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def number_rows(df: DataFrame, order: list[str], name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """Consecutive numbers from 1 in the order of the given columns, without gathering all rows in one task.
 

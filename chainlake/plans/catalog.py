@@ -102,8 +102,8 @@ S_ORDERS = "SELECT *, row_number() OVER (ORDER BY o_orderkey) AS row_no FROM ord
 
 
 def orders_ledger(spark: SparkSession, sf: str) -> DataFrame:
-    orders = load(spark, sf, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,4)"))
-    return O.number_by_key(orders, "o_orderkey")
+    orders = O.number_by_key(O.spread(load(spark, sf, "orders")), "o_orderkey")
+    return orders.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,4)"))
 
 
 # Rows ----------------------------------------------------------------------------------------------------------------
