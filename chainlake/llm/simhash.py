@@ -225,16 +225,21 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, crowd: int = C
     return prints.join(named, prints["fp"] == named["of"]).select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
-    """The row of docs with the least doc_id (null last; then by text hash) of each component, with all its columns, once."""
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """grouped: doc_id, text_hash, root of every row of docs. Of each root the row with the least doc_id (null last; then by text hash), with all its columns, once."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    stays = near_duplicates(docs, **options).groupBy("root").agg(F.min(order).alias("_stays")).select(F.struct("_stays.doc_id", "_stays.text_hash").alias("_stays"))
+    stays = grouped.groupBy("root").agg(F.min(order).alias("_stays")).select(F.struct("_stays.doc_id", "_stays.text_hash").alias("_stays"))
     keyed = docs.select(*(docs[c] for c in docs.columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash")).alias("_key"))
     kept = keyed.join(stays, keyed["_key"].eqNullSafe(stays["_stays"]), "left_semi")
     again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
     return kept.withColumn("_again", again).where("_again = 1").drop("_again", "_key")
 
 
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The row of docs with the least doc_id (null last; then by text hash) of each component, with all its columns, once."""
+    return first_rows(docs, near_duplicates(docs, **options))
+
+
 def op7_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
