@@ -371,6 +371,19 @@ def skip_paths_to_end(spark, sf):
     return P.skip_paths(orders.where("row_no % 97 = 1").select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
 
 
+@query(
+    "skip_paths_to_end_whole",
+    """WITH RECURSIVE n AS (SELECT max(o_orderkey + 1) AS hi FROM orders),
+    p AS (SELECT o_orderkey + 1 AS low, hi AS high, hi AS row_no FROM orders, n
+          UNION ALL SELECT low, high, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
+    SELECT low, high, (count(*) OVER (PARTITION BY low, high) - row_number() OVER (PARTITION BY low, high ORDER BY row_no DESC))::INTEGER AS step, row_no FROM p""",
+)
+def skip_paths_to_end_whole(spark, sf):
+    orders = orders_ledger(spark, sf).select("row_no")
+    hi = orders.agg(F.max("row_no").alias("high"))
+    return P.skip_paths(orders.select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
+
+
 S_RESTRICTED = "SELECT DISTINCT l_suppkey AS k, l_orderkey + 1 AS row_no FROM lineitem WHERE l_quantity >= 49"
 
 
