@@ -1,113 +1,208 @@
-"""Operator 3: line dedup by winnowing over line hashes (DataFrame functions only).
-
-Lines (split at \\n, white space around them dropped) without a word play no part. The window of a line reaches over the
-lines after it until it holds RUN_WORDS words; the least line hash of each window is a fingerprint, so every run of lines
-of RUN_WORDS words or more holds at least one. A fingerprint that also occurs earlier (by doc_id, then line) anchors a match.
-From anchors, matches are extended line by line in both directions as long as the lines, too, occur earlier. A run of such
-lines with RUN_WORDS words or more is deleted; the first occurrence of every line stays. Because an extended run of that
-size always holds a fingerprint, the result does not depend on the hash.
-
-Scale: texts are split once, into rows of two 64-bit hashes, which are shuffled by document for the windows (the shuffle
-key is the document, never the line) and written. Earlier occurrences come from one grouped minimum with partial sums, so
-a line in every document costs one row a task; only lines that recur leave it. Joins on the line hash are plain joins of
-a unique side, whose skewed keys Spark splits; no pair of documents is ever made. Only documents with an anchor are
-extended. Texts are joined with the runs to delete at the end, by a broadcast if these are few, else by one shuffle.
-
-Defined cases: null texts have no lines and stay null; a text whose lines all go becomes empty; blank lines inside a deleted
-run go with it, others stay; rows of equal doc_id and text are one document, and each gets its result; null ids come last
-in order; among rows of one doc_id with several texts, the text's hash is the order; an empty table gives an empty result;
-columns other than doc_id and text are carried along by drop_repeated_runs, whatever their names; texts may be of any length.
+"""Operator 3: dedup of repeated runs by winnowing (DataFrame functions only).
+
+A run is RUN (50) words or more that stand in the same order at an earlier place (by doc_id, then word): of an earlier
+document or of the same one. Runs are aligned, word for word, with one earlier place; white space and line breaks
+between the words don't count. Every word in a run is deleted, the first occurrence stays.
+
+Method: winnowing, over GRAM-word hashes instead of line hashes, as most repeated passages begin or end inside a line.
+Each window of RUN words picks the least of the hashes in it as its fingerprint, so equal windows have equal ones. Windows
+in sequence with one fingerprint are one segment, which its first and last window identify. Segments are joined with their
+earliest equal: that extends a match over all of its inner segments at once. Where a match begins or ends, segments of one
+fingerprint differ (or one repeats itself), and there, from the anchor, it is extended window by window in both directions.
+
+Scale: the texts are read once for the segments, one for some 18 words, with 64-bit hashes of the fingerprint and of the
+content, and nothing else of the texts is shuffled for them. Earlier places come from grouped minima with partial sums, so a
+passage in a third of all documents costs one row a task; joins on a hash have one row a key on one side, so Spark splits
+skewed keys; no pair of documents is ever made. Only documents with a segment at a match's end are read again. Texts are
+joined with the runs to delete at the end, by a broadcast if these are few, else by one shuffle.
+
+What stays between kept words: the white space before a deleted run if it has a line break, else that after it.
+
+Defined cases: null texts have no words and stay null; a text whose words all go keeps the white space around them; texts of
+fewer than RUN words stay as they are; rows of equal doc_id and text are one document, and each gets its result; null ids
+come last in order; among rows of one doc_id with several texts, the text's hash is the order; an empty table gives an empty
+result; all columns are carried along as one struct, whatever their names; texts may be of any length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import BROADCAST_ROWS, WORD, cut, table
-
-RUN_WORDS = 50
-BLANKS = " \t\n\x0b\x0c\r"
-
-
-def line_table(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, th (hash of the text), pos, h, h2, words, picked (it is a fingerprint) of every line with a word, as a written table."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = F.btrim("line", F.lit(BLANKS))
-    hashed = split.select("doc_id", "th", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).where("words > 0")
-    once = hashed.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
-    by_doc = Window.partitionBy("doc_id", "th")
-    placed = once.withColumn("at", F.sum("words").over(by_doc.orderBy("pos")) - F.col("words")).withColumn("all", F.sum("words").over(by_doc))
-    ahead, behind = (by_doc.orderBy("at").rangeBetween(*r) for r in ((0, run_words - 1), (1 - run_words, 0)))
-    least = placed.withColumn("least", F.when(F.col("all") - F.col("at") >= run_words, F.min("h").over(ahead)))
-    # the largest of the minima of the windows around a line is its own hash if one of them picks it
-    picked = least.withColumn("picked", F.coalesce(F.max("least").over(behind) == F.col("h"), F.lit(False)))
-    return cut(picked.select("doc_id", "th", "pos", "h", "h2", "words", "picked"), "lines")
-
-
-def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, th, runs (array of first and last line), n_removed (lines with a word), words_removed of documents with runs to delete."""
-    lines = line_table(docs, run_words)
-    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th", "pos")
-    firsts = lines.groupBy("h", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    firsts = cut(firsts, "first-lines")
-    later = ~place.eqNullSafe(F.col("first"))
-    anchors = lines.where("picked").join(firsts, ["h", "h2"]).where(later).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("pos").alias("p"))
-    anchors = cut(anchors, "line-anchors")
-    of = anchors.select("d", "t").distinct()
-    extended = lines.join(of, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi")
-    # places among all lines with a word, so that neighbours are known once only repeated lines are left
-    extended = extended.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("pos")))
-    repeated = extended.join(firsts, ["h", "h2"]).where(later)
-    run = F.col("k") - F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("pos"))
-    runs = repeated.withColumn("run", run).groupBy("doc_id", "th", "run")
-    runs = runs.agg(F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n"), F.sum("words").alias("w")).where(F.col("w") >= run_words)
-    return runs.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"), F.sum("n").alias("n_removed"), F.sum("w").alias("words_removed"))
-
-
-def drop_repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """Every row of docs with its columns, the text without its repeated runs, and a struct _dedup(n_lines, n_removed, words_removed)."""
-    found = cut(repeated_runs(docs, run_words), "repeated-runs")
-    found = found.select(F.struct("doc_id", "th").alias("_of"), F.struct("runs", "n_removed", "words_removed").alias("_found"))
-    total = found.agg(F.sum(F.size("_found.runs"))).first()[0] or 0
+from chainlake.llm.shared import BROADCAST_ROWS, SPACE, WORD, cut, row_of, table, word_count
+
+RUN = 50
+GRAM = 16
+
+
+def _pairwise(values: str, step: int, fold) -> Column:
+    """fold(x[i], x[i + step]) for all i that have both."""
+    n = F.greatest(F.size(values) - step, F.lit(0))
+    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(step + 1), n), fold)
+
+
+def _windows(texts: DataFrame, run: int, gram: int) -> DataFrame:
+    """texts with grams (hashes of `gram` words from each place) and windows (hashes of `run` words) instead of the text."""
+    words = F.array_remove(F.split("text", SPACE, -1), "")
+    long = texts.where(F.length("text") >= 2 * run - 1)  # fewer characters don't hold as many words
+    out = long.withColumn("grams", F.transform(words, lambda w: F.xxhash64(w))).drop("text")
+    size = 1
+    while size < gram:
+        step = min(size, gram - size)
+        out = out.withColumn("grams", _pairwise("grams", step, lambda a, b: F.xxhash64(a, b)))
+        size += step
+    out, size = out.withColumn("windows", F.col("grams")), gram
+    while size < run:
+        step = min(size, run - size)
+        out = out.withColumn("windows", _pairwise("windows", step, lambda a, b: F.xxhash64(a, b)))
+        size += step
+    return out
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _place(word: str) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", F.col(word).alias("word"))
+
+
+def segments(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """doc_id, th (hash of the text), f (fingerprint), r (hash of the content), a, b (first and last window), again (it repeats itself) of every segment, as a written table."""
+    out = _windows(_keyed(docs), run, gram).withColumn("least", F.col("grams"))
+    size = 1
+    while size < run - gram + 1:
+        step = min(size, run - gram + 1 - size)
+        out = out.withColumn("least", _pairwise("least", step, lambda a, b: F.least(a, b)))
+        size += step
+    least = F.col("least")
+    places = F.when(F.size(least) > 0, F.sequence(F.lit(0), F.size(least) - 1)).otherwise(F.array().cast("array<int>"))
+    changes = F.filter(places, lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    out = out.select("doc_id", "th", "windows", "least", changes.alias("starts"), repeats.alias("repeats"))
+    end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("least")) - 1
+
+    def part(a: Column, b: Column) -> Column:
+        content = F.xxhash64(F.get("windows", a), F.get("windows", b), b - a)
+        own = F.slice("windows", a + 1, b - a + 1)
+        again = F.when(F.col("repeats"), F.size(F.array_distinct(own)) < F.size(own)).otherwise(F.lit(False))
+        return F.struct(F.get("least", a).alias("f"), content.alias("r"), a.alias("a"), b.alias("b"), again.alias("again"))
+
+    # its first and last window hold all words of a segment only if they touch: longer ones (of words that recur) are cut
+    parts = F.transform("starts", lambda a, j: F.transform(F.sequence(a, end(j), F.lit(run)), lambda s: part(s, F.least(s + (run - 1), end(j)))))
+    each = F.flatten(parts)
+    return cut(out.select("doc_id", "th", F.inline(each)), "segments")
+
+
+def _later_windows(docs: DataFrame, edges: DataFrame, run: int, gram: int) -> DataFrame:
+    """doc_id, th, a, b of the windows in edges (doc_id, th, f, a, b) that an earlier window of the same fingerprint equals."""
+    of_doc = cut(edges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("f", "a", "b")).alias("edges")), "segment-edges")
+    held = of_doc.select(F.struct("doc_id", "th").alias("of"), "edges")
+    few = (held.agg(F.sum(F.size("edges"))).first()[0] or 0) <= BROADCAST_ROWS
+    keyed = _keyed(docs).withColumn("key", F.struct("doc_id", "th"))
+    texts = keyed.join(F.broadcast(held) if few else held, F.col("key") == F.col("of")).select("doc_id", "th", "text", "edges")
+    found = _windows(texts, run, gram).select("doc_id", "th", "windows", F.explode("edges").alias("edge"))
+    found = found.select("doc_id", "th", "edge.f", "edge.a", F.posexplode(F.slice("windows", F.col("edge.a") + 1, F.col("edge.b") - F.col("edge.a") + 1)).alias("i", "h"))
+    found = cut(found.select("doc_id", "th", "f", "h", (F.col("a") + F.col("i")).alias("a")), "edge-windows")
+    firsts = found.groupBy("f", "h").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    later = found.join(firsts, ["f", "h"]).where(_place("a") > F.col("first"))
+    return later.select("doc_id", "th", "a", F.col("a").alias("b"))
+
+
+def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """doc_id, th, runs (array of first and last word, from 0, apart from each other) of documents with words to delete."""
+    if not 1 <= gram <= run:
+        raise ValueError("a gram is a part of a run")
+    every = segments(docs, run, gram)
+    kinds = cut(every.groupBy("f", "r").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times"), F.max("again").alias("again")), "segment-kinds")
+    # segments of one fingerprint that differ, or that repeat themselves: a match may begin or end in them
+    several = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").select("f", F.lit(True).alias("edge"))
+    matched = kinds.join(several, "f", "left").where("times > 1 or edge").select("f", "r", "first", "edge")
+    matched = every.join(matched, ["f", "r"]).withColumn("later", _place("a") > F.col("first")).where("later or edge")
+    matched = cut(matched.select("doc_id", "th", "f", "a", "b", "later"), "segment-matches")
+    whole = matched.where("later").select("doc_id", "th", "a", "b")
+    found = whole.unionByName(_later_windows(docs, matched.where("not later"), run, gram))
+    # windows to words; what touches becomes one run
+    by_doc = found.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct(F.col("a").alias("a"), (F.col("b") + (run - 1)).alias("b")))).alias("parts"))
+
+    def join(runs: Column, part: Column) -> Column:
+        last = F.element_at(runs, -1)
+        longer = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["a"].alias("a"), F.greatest(last["b"], part["b"]).alias("b"))))
+        return F.when(F.size(runs) == 0, F.array(part)).when(part["a"] <= last["b"] + 1, longer).otherwise(F.concat(runs, F.array(part)))
+
+    return by_doc.select("doc_id", "th", F.aggregate("parts", F.array().cast("array<struct<a:int,b:int>>"), join).alias("runs"))
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """The text without the words of the runs (first and last word, ascending, apart)."""
+    pieces = F.regexp_extract_all(text, F.lit(f"{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    space = lambda piece: F.coalesce(F.regexp_extract(piece, r"[\x20\x09-\x0D]+$", 0), F.lit(""))
+
+    def build(pieces: Column) -> Column:
+        after = lambda j: F.coalesce(F.get(runs, j)["b"] + 1, F.lit(0))
+
+        def part(r: Column, j: Column) -> Column:
+            start = F.when(j > 0, after(j - 1)).otherwise(F.lit(0))
+            kept = F.array_join(F.slice(pieces, start + 1, r["a"] - start), "")
+            before = space(kept)
+            between = F.when(before.contains("\n"), before).otherwise(space(F.get(pieces, r["b"])))
+            return F.when(r["a"] > start, F.concat(F.regexp_replace(kept, r"[\x20\x09-\x0D]+$", ""), between)).otherwise(F.lit(""))
+
+        last = after(F.size(runs) - 1)
+        tail = F.array_join(F.slice(pieces, last + 1, F.size(pieces) - last), "")
+        return F.concat(F.array_join(F.transform(runs, part), ""), tail)
+
+    lead = F.coalesce(F.regexp_extract(text, r"^[\x20\x09-\x0D]+", 0), F.lit(""))
+    return F.concat(lead, F.transform(F.array(pieces), build)[0])
+
+
+def drop_repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """row (a struct of all columns of docs, the text without its repeated runs), n_words, n_runs, n_removed (words) of every row."""
+    found = cut(repeated_runs(docs, run, gram), "repeated-runs")
+    found = found.select(F.struct("doc_id", "th").alias("of"), "runs")
+    total = found.agg(F.sum(F.size("runs"))).first()[0] or 0
     found = F.broadcast(found) if total <= BROADCAST_ROWS else found
-    columns = docs.columns
-    keyed = docs.select(*(docs[c] for c in columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("th")).alias("_key"))
-    joined = keyed.join(found, keyed["_key"].eqNullSafe(found["_of"]), "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("_found.runs", lambda r: (r["a"] <= i) & (i <= r["b"])))
-    text = F.when(F.col("_found").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda line: line.rlike(WORD))), F.lit(0)).cast("long")
-    count = lambda c: F.coalesce(F.col(f"_found.{c}"), F.lit(0)).cast("long").alias(c)
-    counts = F.struct(n_lines.alias("n_lines"), count("n_removed"), count("words_removed")).alias("_dedup")
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in columns), counts)
+    text = F.col("row.text").cast("string")
+    keyed = docs.select(row_of(docs)).select("row", F.struct("row.doc_id", F.xxhash64(text).alias("th")).alias("key"))
+    joined = keyed.join(found, F.col("key") == F.col("of"), "left").select("row", "runs")  # structs: nulls in the same places are equal
+    new = F.when(F.col("runs").isNotNull(), _without(text, F.col("runs"))).otherwise(text)
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1)
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return joined.select(
+        F.col("row").withField("text", new).alias("row"),
+        word_count(text).alias("n_words"),
+        count(F.when(F.col("runs").isNotNull(), F.size("runs"))).alias("n_runs"),
+        count(removed).alias("n_removed"),
+    )
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "_dedup.*")
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_words", "n_runs", "n_removed")
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}
 
 SQL = {
     "op3_line_dedup": r"""
-WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM split),
-worded AS (
-  SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w,
-         row_number() OVER (PARTITION BY regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') ORDER BY doc_id, pos) > 1 AS later,
-         row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
-  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-runs AS (
-  SELECT doc_id, min(pos) AS a, max(pos) AS b, count(*) AS n, sum(w) AS w
-  FROM (SELECT *, k - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM worded WHERE later)
-  GROUP BY doc_id, run HAVING sum(w) >= 50),
-kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
-  FROM l WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = l.doc_id AND pos BETWEEN a AND b) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(kept.text, '') AS text,
-       (SELECT count(*) FROM worded w WHERE w.doc_id = d.doc_id)::BIGINT AS n_lines,
-       coalesce((SELECT sum(n) FROM runs r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS n_removed,
-       coalesce((SELECT sum(w) FROM runs r WHERE r.doc_id = d.doc_id), 0)::BIGINT AS words_removed
-FROM documents d LEFT JOIN kept USING (doc_id)""",
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(text, '([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)', 1) AS w,
+         regexp_extract_all(text, '([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)', 2) AS s
+  FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+later AS (SELECT doc_id, i, i + 49 AS j FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM windows) WHERE k > 1),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(s) AS space, unnest(range(1, len(w) + 1)) AS i, s, len(w) AS n FROM d),
+marked AS (
+  SELECT w.*, i <= coalesce(max(l.j) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS UNBOUNDED PRECEDING), 0) AS gone
+  FROM words w LEFT JOIN later l USING (doc_id, i)),
+kept AS (SELECT *, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i), n + 1) AS next FROM marked WHERE NOT gone),
+texts AS (
+  SELECT doc_id, string_agg(word || CASE WHEN next = i + 1 OR contains(space, chr(10)) THEN space ELSE s[next - 1] END, '' ORDER BY i) AS text
+  FROM kept GROUP BY doc_id),
+counts AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone AND NOT before) AS n_runs, count(*) FILTER (WHERE gone) AS n_removed
+  FROM (SELECT doc_id, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked) GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN regexp_extract(d.text, '^[\x20\x09-\x0D]*') || coalesce(t.text, '') END AS text,
+       coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM d LEFT JOIN texts t USING (doc_id) LEFT JOIN counts USING (doc_id)""",
 }

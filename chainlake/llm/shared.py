@@ -49,6 +49,17 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def literal_rows(spark: SparkSession, rows: tuple, names: tuple[str, ...]) -> DataFrame:
+    """A small fixed table, as literals in the plan."""
+    each = [F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*each)))
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns as one struct `row`, so that no name of theirs meets one of ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def word_count(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

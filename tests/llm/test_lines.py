@@ -3,83 +3,97 @@ import re
 
 from chainlake.llm import lines
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+PIECE = re.compile(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)")
 
 
-def plain(rows, run_words):
-    """rows: distinct (doc_id, text) in order. The text left of each."""
+def plain(rows, run):
+    """rows: distinct (doc_id, text) in order. The text left of each, its words, runs and words removed."""
     seen, out = set(), {}
     for i, text in rows:
         if text is None:
-            out[i] = (None, 0)
+            out[i] = (None, 0, 0, 0)
             continue
-        split = text.split("\n")
-        worded = [(p, x.strip(" \t\n\x0b\x0c\r")) for p, x in enumerate(split) if WORD.search(x)]
-        later = []
-        for _, x in worded:
-            later.append(x in seen)
-            seen.add(x)
-        gone, n, k = set(), 0, 0
-        while k < len(worded):
-            e = k
-            while e < len(worded) and later[e]:
-                e += 1
-            if e > k and sum(len(WORD.findall(x)) for _, x in worded[k:e]) >= run_words:
-                gone |= set(range(worded[k][0], worded[e - 1][0] + 1))
-                n += e - k
-            k = max(e, k + 1)
-        out[i] = ("\n".join(x for p, x in enumerate(split) if p not in gone), n)
+        pieces = PIECE.findall(text)
+        words, gone = [w for w, _ in pieces], set()
+        for k in range(len(words) - run + 1):
+            window = tuple(words[k : k + run])
+            if window in seen:
+                gone |= set(range(k, k + run))
+            seen.add(window)
+        left, n_runs, k = [re.match(r"[\x20\x09-\x0D]*", text)[0]], 0, 0
+        while k < len(words):
+            if k in gone:
+                n_runs += 1
+                while k in gone:
+                    k += 1
+                continue
+            end = k + 1
+            while end in gone:
+                end += 1
+            space = pieces[k][1] if end == k + 1 or "\n" in pieces[k][1] else pieces[end - 1][1]
+            left.append(words[k] + space)
+            k += 1
+        out[i] = ("".join(left), len(words), n_runs, len(gone))
     return out
 
 
-def got(spark, rows, run_words):
-    docs = spark.createDataFrame([(i, t, "h", 3, "x") for i, t in rows], "doc_id long, text string, h string, runs int, first string").repartition(3)
-    found = lines.drop_repeated_runs(docs, run_words)
-    assert found.columns == [*docs.columns, "_dedup"]
-    return [(r.doc_id, r.text, r._dedup.n_removed) for r in found.collect()]
+def got(spark, rows, run, gram=4):
+    docs = spark.createDataFrame([(i, t, "h", 3, "x", 4.5) for i, t in rows], "doc_id long, text string, key string, runs int, row string, `f.g` double").repartition(3)
+    found = lines.drop_repeated_runs(docs, run, gram)
+    assert found.columns == ["row", "n_words", "n_runs", "n_removed"]
+    assert found.select("row.*").columns == docs.columns
+    return [(r.row.doc_id, r.row.text, r.n_words, r.n_runs, r.n_removed) for r in found.collect()]
 
 
 def made(n, seed):
+    """Texts with passages that begin and end anywhere in a line, and words that recur often."""
     rng = random.Random(seed)
-    passages = [[" ".join(f"p{rng.randrange(99)}" for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 9))] for _ in range(9)]
+    passages = [[f"p{rng.randrange(30)}" for _ in range(rng.randrange(5, 60))] for _ in range(9)]
+    passages += [["same"] * 90, ["one"] * 14, ["x", "y", "z"] * 5]
     rows = []
     for i in range(n):
-        text = []
+        words = []
         for _ in range(rng.randrange(0, 9)):
-            text += rng.choice(passages) if rng.random() < 0.5 else [" ".join(f"w{rng.randrange(9999)}" for _ in range(rng.randrange(0, 9)))]
-            text += [rng.choice(["", " ", "common line"])] * rng.randrange(0, 2)
-        rows.append((i, "\n".join(text)))
+            part = rng.choice(passages) if rng.random() < 0.5 else [f"w{rng.randrange(9999)}" for _ in range(rng.randrange(0, 30))]
+            a = rng.randrange(0, 6)
+            words += part[a : len(part) - rng.randrange(0, 6)]
+        rows.append((i, rng.choice(["", " ", "\n "]) + "".join(w + rng.choice([" ", " ", " ", "\n", " \n\t", "  "]) for w in words)))
     return rows
 
 
 def test_against_brute_force(spark):
     rows = made(150, 1)
-    want = plain(rows, 10)
-    assert {(i, *want[i]) for i in want} == set(got(spark, rows, 10))
-    assert sum(n for _, n in want.values()) > 50
+    for run, gram in ((10, 4), (20, 16), (7, 7), (5, 1)):
+        want = plain(rows, run)
+        assert {(i, *want[i]) for i in want} == set(got(spark, rows, run, gram))
+        assert sum(n for _, _, _, n in want.values()) > 500
 
 
 def test_defined_cases(spark):
     long = "\n".join(f"line {k} with five words" for k in range(30))
-    rows = [(1, long), (2, None), (3, ""), (4, long + "\nnew"), (5, "x\n" + long.replace("line", " line")), (6, "only these"), (6, "only these"), (7, ("again and again it is said\n" * 40)), (None, long)]
+    rows = [(1, long), (2, None), (3, ""), (4, long + "\nnew"), (5, "x\n" + long.replace("line", " line")), (6, "only these"), (6, "only these"), (7, ("again and again it is said\n" * 4000)), (8, " \n"), (None, "before " + long + " after")]
     want = plain(rows[:6] + rows[7:], 50)
-    found = got(spark, rows, 50)
+    found = got(spark, rows, 50, 16)
     assert {(i, *want[i]) for i in want} == set(found) and len(found) == len(rows)
-    assert want[4][0] == "new" and want[None][0] == "" and want[5][0] == "x"
+    assert want[4][0] == "new" and want[None][0] == "before after" and want[5][0] == "x\n " and want[7][3] == 23994
     assert got(spark, [], 50) == []
 
 
-def test_every_long_run_holds_a_fingerprint(spark):
+def test_runs_are_aligned(spark):
+    """Parts that stand in several earlier documents, but never one after another, are no run."""
+    part = lambda x, n: " ".join(f"{x}{k}" for k in range(n))
+    rows = [(1, part("a", 30) + " x"), (2, part("b", 30) + " y"), (3, part("a", 30) + " " + part("b", 30)), (4, "z " + part("a", 30) + " " + part("b", 25))]
+    found = {r[0]: r for r in got(spark, rows, 50, 16)}
+    assert found[3][1] == rows[2][1] and found[3][4] == 0
+    assert found[4][1] == "z" and found[4][4] == 55
+
+
+def test_equal_windows_have_equal_fingerprints(spark):
     rows = made(80, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    by_doc = {}
-    for r in lines.line_table(docs, 10).collect():
-        by_doc.setdefault(r.doc_id, []).append(r)
-    for rs in by_doc.values():
-        rs.sort(key=lambda r: r.pos)
-        for i in range(len(rs)):
-            words, j = 0, i
-            while j < len(rs) and words < 10:
-                words += rs[j].words
-                j += 1
-            assert words < 10 or any(r.picked for r in rs[i:j])
+    of = {}
+    for r in lines.segments(docs, 10, 4).collect():
+        words = [w for w, _ in PIECE.findall(dict(rows)[r.doc_id])]
+        for k in range(r.a, r.b + 1):
+            assert of.setdefault(tuple(words[k : k + 10]), r.f) == r.f
+    assert len(of) == len({tuple(w[k : k + 10]) for _, t in rows for w in [[x for x, _ in PIECE.findall(t)]] for k in range(len(w) - 9)})
