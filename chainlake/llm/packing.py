@@ -1,24 +1,24 @@
 """Operator 6: mixture-controlled packing by deficit round-robin.
 
-Every source is a queue of its documents' tokens (ids of the whole text, then the end id). Queues are served in quanta of
-QUANTUM tokens: a queue is due when its share of what has been served has grown by a whole quantum, so the deficit it
-carries from window to window stays below one quantum. What is served forms one stream, cut every LENGTH tokens: each
-window is full and holds the target proportions to within a quantum a queue; only the last one of all is padded.
+Every source is a queue of its documents (ids of the whole text, then the end id). In each round a queue's deficit grows by its
+quantum, its target share of one window (LENGTH tokens); it serves whole documents while the deficit lasts and carries the
+rest on. What is served, round by round and within a round by source, forms one stream, cut every LENGTH tokens: each
+window is full, and up to any place a queue has had its target share to within one document, however long. Documents are cut
+only where a window ends; only the last window of all is padded. When a queue is empty, rounds go on with the others.
 
-The order of service is a formula, not a loop: quantum j (from 0) of a queue of rate r is due at (j + 1) / r, ties go to the
-lower queue, so the tokens served before it are sums over the queues. Any task places its documents by their offset in
-their own queue alone, and deficits carry across windows and partitions alike. Rates are by default the queues' numbers
-of quanta, which empties all of them together; with weights, queues end at different times and the others fill in.
+A deficit is the credit of all rounds less all that was served. So a document is served in the first round whose credit
+reaches its end in its own queue: round = ceil(end / quantum), which any task finds for its rows alone. The deficits thus
+carry over windows, tasks and partitions without a state that is handed on.
 
 Scale: one pass makes the ids and writes them with their offset among their source's tokens of the same task; the sums by
-(task, source) are few and give each task's start by a window function; a second pass reads the ids where they lie and
-cuts the pieces, so no text and no id is shuffled (the sums are broadcast only up to a bound, else joined by a shuffle).
-The queues' totals are at most QUEUES numbers; further sources share queues. A lost executor's pieces come again from the
-written ids, the same.
+(task, source) are few and give each task's start by a window function. Rounds are dealt into at most about BUCKETS stretches;
+sums by stretch give where each begins in the stream. Ids (two bytes a token) are shuffled once, by stretch, sorted by
+round, and streamed; a stretch has so many windows' tokens whatever the sources' sizes, so a hot source is spread. A lost
+executor's pieces come again from the written ids, the same. Any number of sources is served.
 
 Defined cases: a null or empty text is a document of the end id only; a null source is a source, the last; repeated rows
 are documents of their own; null ids are kept; an empty table gives an empty result; other columns are ignored; a text
-may be longer than a window, and no length is cut off.
+may be longer than a window, and no length is cut off; a weight below 1e-9 or none counts as that.
 """
 
 from __future__ import annotations
@@ -34,9 +34,12 @@ from chainlake.llm.shared import cut, small, table
 from chainlake.llm.tokens import PATTERN, PieceTable, byte_symbols, pieces, vocabulary_path
 
 LENGTH = 2048
-QUANTUM = 256
-QUEUES = 4096
 END = 1
+#: Stretches of rounds, about, and rounds that a stretch has at least.
+BUCKETS = 32_768
+LEAST_ROUNDS = 64
+#: The query's target weights, repeating over the sources by code point, null last.
+WEIGHTS = (5, 2, 1)
 
 
 class Ids:
@@ -109,102 +112,98 @@ def token_table(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     return cut(chosen.mapInArrow(run, f"doc_id {kind}, source string, task long, before long, n long, ids binary"), "pack-ids")
 
 
-class Service:
-    """Where each queue's quanta come in the stream."""
-
-    def __init__(self, totals: list[int], rates: list[int], quantum: int = QUANTUM):
-        import numpy as np
-
-        self.quantum = quantum
-        wide = max([*rates, 1]) * max([t // quantum + 2 for t in totals] + [1]) >= 1 << 62
-        kind = object if wide else np.int64
-        self.totals, self.rates = np.array(totals, kind), np.array(rates, kind)
-        self.index = np.arange(len(totals))
-
-    def places(self, queue, quanta):
-        """The stream position of each (queue, quantum) given as two arrays."""
-        import numpy as np
-
-        out = np.empty(len(quanta), np.int64)
-        for i in range(0, len(quanta), 4096):
-            q, j = queue[i : i + 4096, None], quanta[i : i + 4096, None].astype(self.rates.dtype)
-            reach = (j + 1) * self.rates[None, :]
-            rate = self.rates[q]
-            # quanta due strictly earlier, or at the same time in a lower queue
-            counts = np.where(self.index[None, :] < q, reach // rate, (reach - 1) // rate)
-            out[i : i + 4096] = np.minimum(counts * self.quantum, self.totals[None, :]).sum(axis=1)
-        return out
-
-
-def pack(docs: DataFrame, *, vocabulary: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, weights: dict[str | None, int] | None = None) -> DataFrame:
+def queues(sums: DataFrame, weights: dict[str | None, float] | tuple[float, ...] | None, length: int) -> DataFrame:
+    """source, rank (by code point, null last), total, quantum (tokens a round) of each source; sums: source, n."""
+    by_name = Window.orderBy(F.col("source").asc_nulls_last())  # one row a source
+    sources = sums.groupBy("source").agg(F.sum("n").alias("total")).withColumn("rank", F.row_number().over(by_name))
+    if weights is None:
+        weight = F.col("total").cast("double")
+    elif isinstance(weights, dict):
+        weight = F.lit(1.0)
+        for name, w in weights.items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
+    else:
+        at = F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1
+        weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), at.cast("int"))
+    weighed = sources.withColumn("weight", F.greatest(weight, F.lit(1e-9)))
+    quantum = F.lit(float(length)) * F.col("weight") / F.sum("weight").over(Window.partitionBy(F.lit(1)))
+    return cut(weighed.select("source", "rank", "total", quantum.alias("quantum")), "pack-sources")
+
+
+def _cut(batch, length: int, base: int, bucket):
+    """The pieces of the documents (doc_id, source, bucket, start of the bucket, n, ids) in order; and where the stream is after them."""
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    of, first, n = (batch.column(i).to_numpy() for i in (2, 3, 4))
+    upto = np.cumsum(n)
+    fresh = np.ones(len(n), bool)
+    fresh[1:] = of[1:] != of[:-1]
+    fresh[0] = of[0] != bucket
+    # tokens of the same bucket before each document, here and in earlier batches
+    head = np.maximum.accumulate(np.where(fresh, np.arange(len(n)), -1))
+    place = np.where(head >= 0, first + upto - n - np.where(head >= 0, (upto - n)[head], 0), base + upto - n)
+    windows = (place + n - 1) // length - place // length + 1
+    row = np.repeat(np.arange(len(n)), windows)
+    window = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows) + (place // length)[row]
+    begin = np.maximum(place[row], window * length)
+    size = np.minimum((place + n)[row], (window + 1) * length) - begin
+    start = begin - place[row]
+    held, wide, data, crcs = -1, None, [], []
+    for r, s, m in zip(row.tolist(), start.tolist(), size.tolist()):
+        if r != held:
+            raw = batch.column(5)[r].as_buffer()
+            wide, held = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n[r] else np.uint32).astype("<u4"), r
+        data.append(wide[s : s + m].tobytes())
+        crcs.append(zlib.crc32(data[-1]))
+    pick, names = pa.array(row), ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+    pieces = [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start), pa.array(size), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(window), pa.array(begin - window * length), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(pieces, names), int(place[-1] + n[-1]), of[-1]
+
+
+def pack(docs: DataFrame, *, vocabulary: str | None = None, length: int = LENGTH, weights: dict[str | None, float] | tuple[float, ...] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Pieces: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (32-bit little-endian).
 
-    weights: relative target proportions of sources by name (whole numbers of at least 1; others weigh 1); none: each
-    source's share of all tokens.
+    weights: target proportions of the sources, by name (others weigh 1) or repeating over them in order; none: each source's
+    share of all tokens, which empties all queues together.
     """
-    path = vocabulary or vocabulary_path()
-    ids = token_table(docs, path)
-    sums = ids.groupBy("task", "source").agg(F.sum("n").alias("n"))
-    sources = sums.groupBy("source").agg(F.sum("n").alias("total"))
-    sources = sources.withColumn("queue", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % QUEUES)
-    sources = cut(sources, "pack-sources")
-    per_queue = sources.groupBy("queue").agg(F.sum("total").alias("total"), F.min_by("source", "source").alias("source")).orderBy("queue").collect()  # at most QUEUES rows
-    totals = [r["total"] for r in per_queue]
-    rates = [max(1, (weights or {}).get(r["source"], 1)) if weights else -(-r["total"] // quantum) for r in per_queue]
-    earlier = Window.partitionBy("queue").orderBy(F.col("source").asc_nulls_last(), "task").rowsBetween(Window.unboundedPreceding, -1)
+    ids = token_table(docs, vocabulary or vocabulary_path())
+    sums = cut(ids.groupBy("task", "source").agg(F.sum("n").alias("n")), "pack-sums")
+    sources = queues(sums, weights, length)
     n_sources = sources.count()
-    named = sources.select(F.col("source").alias("of"), "queue")
-    starts = sums.join(small(named, n_sources), F.col("source").eqNullSafe(F.col("of"))).select("of", F.col("task").alias("from"), "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    starts = cut(starts, "pack-starts")
-    placed = ids.join(small(starts, starts.count()), ids["source"].eqNullSafe(starts["of"]) & (ids["task"] == starts["from"]))
-    placed = placed.select("doc_id", "source", "queue", (F.col("base") + F.col("before")).alias("at"), "n", "ids")
+    rounds = sources.agg(F.max(F.ceil(F.col("total") / F.col("quantum")))).first()[0] or 1
+    stretch = max(LEAST_ROUNDS if buckets == BUCKETS else 1, -(-rounds // buckets))
+    earlier = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("task", "source", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    named = small(sources.select(F.col("source").alias("name"), "rank", "quantum"), n_sources)
+    starts = starts.join(named, F.col("source").eqNullSafe(F.col("name")))
+    starts = cut(starts.select(F.struct("task", "source").alias("of"), "rank", "quantum", "base"), "pack-starts")
+    placed = ids.withColumn("key", F.struct("task", "source")).join(small(starts, starts.count()), F.col("key") == F.col("of"))
+    placed = placed.withColumn("at", F.col("base") + F.col("before"))
+    placed = placed.withColumn("round", F.ceil((F.col("at") + F.col("n")) / F.col("quantum")))
+    placed = placed.withColumn("bucket", F.floor((F.col("round") - 1) / F.lit(stretch)))
+    # one row a stretch
+    sizes = placed.groupBy("bucket").agg(F.sum("n").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = cut(sizes.select(F.col("bucket").alias("stretch"), first.alias("first")), "pack-stretches")
+    placed = placed.join(small(sizes, sizes.count()), F.col("bucket") == F.col("stretch"))
+    served = placed.select("doc_id", "source", "bucket", "first", "n", "ids", "round", "rank", "at").repartition("bucket").sortWithinPartitions("bucket", "round", "rank", "at")
 
     def run(batches: Iterator) -> Iterator:
-        import zlib
-
-        import numpy as np
-        import pyarrow as pa
-
-        service, names = Service(totals, rates, quantum), ["doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+        base, bucket = 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            queue, at, n = (batch.column(i).to_numpy() for i in (2, 3, 4))
-            first, last = at // quantum, (at + n - 1) // quantum
-            count = last - first + 1
-            row = np.repeat(np.arange(len(n)), count)
-            quanta = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
-            lo, hi = np.maximum(at[row], quanta * quantum), np.minimum((at + n)[row], (quanta + 1) * quantum)
-            where = service.places(queue[row], quanta) + lo - quanta * quantum
-            # cut where a window ends, as often as needed
-            over = (where + (hi - lo) - 1) // length - where // length
-            cuts = np.repeat(np.arange(len(row)), over + 1)
-            k = np.arange(len(cuts)) - np.repeat(np.cumsum(over + 1) - (over + 1), over + 1)
-            begin = np.maximum(where[cuts], (where[cuts] // length + k) * length)
-            end = np.minimum((where + hi - lo)[cuts], (where[cuts] // length + k + 1) * length)
-            row, start = row[cuts], (lo - at[row])[cuts] + begin - where[cuts]
-            # join pieces of a document that follow each other in one window
-            fresh = np.ones(len(row), bool)
-            fresh[1:] = (row[1:] != row[:-1]) | (begin[1:] != end[:-1]) | (begin[1:] // length != begin[:-1] // length)
-            head = np.flatnonzero(fresh)
-            row, start, begin, end = row[head], start[head], begin[head], end[np.append(head[1:], len(fresh)) - 1]
-            size = end - begin
-            wide, held, data, crcs = None, -1, [], []
-            for r, s, m in zip(row.tolist(), start.tolist(), size.tolist()):
-                if r != held:
-                    raw = batch.column(5)[r].as_buffer()
-                    wide, held = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n[r] else np.uint32).astype("<u4"), r
-                data.append(wide[s : s + m].tobytes())
-                crcs.append(zlib.crc32(data[-1]))
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start), pa.array(size), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(begin // length), pa.array(begin % length), pa.array(data, pa.binary())], names)
+            if batch.num_rows:
+                pieces, base, bucket = _cut(batch, length, base, bucket)
+                yield pieces
 
     kind = dict(docs.dtypes)["doc_id"]
-    return placed.mapInArrow(run, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return served.mapInArrow(run, f"doc_id {kind}, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), weights=WEIGHTS).drop("ids")
 
 
 QUERIES = {"op6_mixture_packing": op6_mixture_packing}

@@ -49,53 +49,84 @@ def made(n, seed):
     return [(i, " ".join(rng.choices(["the", "of", "tion", "\n", "Überall", "<|endoftext|>", " x"], k=rng.randrange(0, 900))), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(n)]
 
 
-def test_pieces_and_proportions(spark):
-    rows = made(200, 1)
-    sequences = check(rows, run(spark, rows))
+def served(sequences, upto):
+    """Tokens by source in the first windows."""
     size = defaultdict(int)
-    for pieces in sequences.values():
-        for _, n, s in pieces:
-            size[s] += n
-    total = sum(size.values())
-    served = defaultdict(int)
-    for k in sorted(sequences)[:-1]:
+    for k in sorted(sequences)[:upto]:
         for _, n, s in sequences[k]:
-            served[s] += n
-        for s in size:  # the deficit carried is below a quantum for the queue, and its due quantum may be half served
-            assert abs(served[s] - size[s] * packing.LENGTH * (k + 1) / total) <= 3 * packing.QUANTUM
+            size[s] += n
+    return size
+
+
+def longest(rows):
+    return max(len(LIBRARY.encode(t or "", add_special_tokens=False).ids) + 1 for _, t, _ in rows)
+
+
+@pytest.mark.parametrize("buckets", [packing.BUCKETS, 7, 10_000])
+def test_pieces_and_proportions(spark, buckets):
+    rows = made(200, 1)
+    sequences = check(rows, run(spark, rows, buckets=buckets))
+    size = served(sequences, None)
+    total, most = sum(size.values()), longest(rows)
+    for k in range(1, len(sequences)):
+        now = served(sequences, k)
+        for s in size:  # a document each of the deficits, and the round that the window cuts
+            assert abs(now[s] - size[s] * packing.LENGTH * k / total) <= len(size) * most
 
 
 def test_weights(spark):
     rows = made(200, 3)
-    sequences = check(rows, run(spark, rows, weights={"a": 1, "b": 1, "c": 1, None: 1}))
-    first = defaultdict(int)
-    for k in range(5):
-        for _, n, s in sequences[k]:
-            first[s] += n
-    assert max(first.values()) - min(first.values()) <= 2 * packing.QUANTUM
+    for weights, want in (({"a": 3, None: 2}, {"a": 3, "b": 1, "c": 1, None: 2}), ((5, 2, 1), {"a": 5, "b": 2, "c": 1, None: 5})):
+        sequences = check(rows, run(spark, rows, weights=weights))
+        size, most = served(sequences, None), longest(rows)
+        k = 1
+        # as long as all queues have documents
+        while all(sum(served(sequences, k).values()) * w / sum(want.values()) + most < size[s] for s, w in want.items()):
+            now = served(sequences, k)
+            for s, w in want.items():
+                assert abs(now[s] - packing.LENGTH * k * w / sum(want.values())) <= len(want) * most
+            k += 1
+        assert k > 3
+
+
+def plain_order(rows, quantum):
+    """rows: (key, source rank, tokens) in queue order. Keys in order of a deficit round-robin that keeps its deficits."""
+    queues = {s: [r for r in rows if r[1] == s] for s in sorted({r[1] for r in rows})}
+    deficit, out = dict.fromkeys(queues, 0), []
+    while any(queues.values()):
+        for s, queue in queues.items():
+            deficit[s] += quantum[s]
+            while queue and queue[0][2] <= deficit[s]:
+                key, _, n = queue.pop(0)
+                deficit[s] -= n
+                out.append(key)
+    return out
+
+
+def test_the_order_is_a_deficit_round_robin(spark):
+    rows = made(150, 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    pieces = packing.pack(docs, weights=(8, 4, 2, 2)).collect()
+    order = sorted((r.sequence_id, r.offset, r.doc_id) for r in pieces if r.start == 0)
+    tokens_of, rank = {r.doc_id: r.doc_tokens for r in pieces}, {"a": 0, "b": 1, "c": 2, None: 3}
+    queue = [(i, rank[s], tokens_of[i]) for i, _, s in rows]
+    assert [i for _, _, i in order] == plain_order(queue, {0: 1024, 1: 512, 2: 256, 3: 256})
+
+
+@pytest.mark.parametrize("length", [64, 100])
+def test_other_lengths(spark, length):
+    rows = made(20, 4)
+    check(rows, run(spark, rows, length=length), length)
 
 
-@pytest.mark.parametrize("length,quantum", [(64, 256), (100, 7)])
-def test_other_lengths(spark, length, quantum):
-    rows = made(20, 4)
-    check(rows, run(spark, rows, length=length, quantum=quantum), length)
+def test_many_sources(spark):
+    rows = [(i, "a few words here " * (i % 5), f"source {i % 6000:05d}") for i in range(7000)]
+    sequences = check(rows, run(spark, rows, weights={"source 00001": 6000}))
+    assert sum(n for _, n, s in sequences[0] if s == "source 00001") > 5
 
 
 def test_defined_cases(spark):
     rows = [(1, None, None), (2, "", "a"), (None, "x y", "a"), (3, "w " * 30000, "b"), (4, "same", "b"), (4, "same", "b")]
     check(rows, run(spark, rows))
+    check(rows, run(spark, rows, weights={"b": 0}))
     assert run(spark, []) == []
-
-
-def test_service_is_the_round_robin_by_due_times():
-    totals, quantum = [1000, 330, 2049, 5], 64
-    rates = [-(-t // quantum) for t in totals]
-    order = sorted(((j + 1) / rates[q], q, j) for q in range(4) for j in range(rates[q]))
-    service, at = packing.Service(totals, rates, quantum), 0
-    for _, q, j in order:
-        assert service.places(np.array([q]), np.array([j]))[0] == at
-        at += min(quantum, totals[q] - j * quantum)
-    wide = packing.Service(totals, rates, quantum)
-    wide.rates, wide.totals = wide.rates.astype(object), wide.totals.astype(object)
-    q, j = np.array([0, 1, 2]), np.array([3, 2, 30])
-    assert (wide.places(q, j) == service.places(q, j)).all()
