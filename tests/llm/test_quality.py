@@ -24,18 +24,38 @@ def vector(b):
     return [math.floor(math.sqrt(x / b[0]) * 1000 + 0.5) for x in (b[1], b[2], b[3], b[4])]
 
 
-def plain_estimate(x, steps=quality.C_STEPS):
-    x = np.array(x, float)
+def plain_starts(x):
     lower = lambda a: np.sort(a, axis=0)[math.ceil(len(a) / 2) - 1]
     floors = np.diag(np.square(quality.FLOORS))
-    mean = lower(x)
-    cov = np.diag((lower(abs(x - mean)) * 1.4826) ** 2) + floors
-    for _ in range(steps):
-        step = np.floor(np.sqrt(distance(x, mean, cov)) * 64)
-        core = x[step <= np.sort(step)[math.ceil(quality.H * len(x)) - 1]]
-        mean = core.mean(axis=0)
-        cov = ((core.T @ core) / len(core) - np.outer(mean, mean)) * quality.CONSISTENCY + floors
-    return mean, cov
+    median = lower(x)
+    scale = np.sqrt((lower(abs(x - median)) * 1.4826) ** 2 + np.square(quality.FLOORS))
+    z = (x - median) / scale
+    norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+    whole = lambda v: np.floor(v * 1000 + 0.5)
+    cut, way = whole(np.clip(z, -2, 2)), whole(np.divide(z, norm, out=np.zeros_like(z), where=norm > 0))
+    yield median, np.diag(scale**2)
+    mean = x.mean(axis=0)
+    yield mean, (x.T @ x) / len(x) - np.outer(mean, mean) + floors
+    for v in (cut, way):
+        yield median, (v.T @ v) / len(x) / 1e6 * np.outer(scale, scale) + floors
+
+
+def plain_estimate(x):
+    x = np.array(x, float)
+    ends = []
+    for k, (mean, cov) in enumerate(plain_starts(x)):
+        last = None
+        while True:
+            step = np.floor(np.sqrt(distance(x, mean, cov)) * 64)
+            core = x[step <= np.sort(step)[math.ceil(quality.H * len(x)) - 1]]
+            now = core.mean(axis=0)
+            new = ((core.T @ core) / len(core) - np.outer(now, now)) * quality.CONSISTENCY + np.diag(np.square(quality.FLOORS))
+            det = np.linalg.det(new)
+            if last is not None and not det < last * (1 - quality.LEAST_FALL):
+                break
+            mean, cov, last = now, new, det
+        ends.append((last, k, mean, cov))
+    return min(ends, key=lambda e: e[:2])[2:]
 
 
 def distance(x, mean, cov):
