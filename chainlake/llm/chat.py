@@ -9,7 +9,9 @@ that is later than all it needs; order by place, then turn.
 Scale: everything is keyed by conversation and identifier; both sides of a join have one row a key (grouped with partial
 sums first), so repeated identifiers make no pairs, and keys that recur in a third of the rows are split by Spark. No
 conversation is collected: each message stays a row. Only conversations in which some message stands before what it needs are
-ordered by rounds (each takes the messages whose needs are placed); the number of rounds is their longest chain.
+ordered, by pointer doubling: in a round every need of a message that itself needs one other (or none) is replaced by
+what that one needs, and the steps between are kept, so a chain of n messages takes about log2(n) rounds, whatever its
+conversation's size. Rounds grow beyond that only with chains of messages that each keep several different needs.
 
 Defined cases: a call without a result, a result without a call, a repeated identifier, an unknown tool, arguments that are no
 object, a needed call that is absent, and a cycle are problems listed by name (valid is then false; in a cycle place is the
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import cut, small, table
+from chainlake.llm.shared import cut, literal_rows, small, table
 
 #: The JSON types of schemas, as patterns of Spark's names for variant types.
 TYPES = {"string": "STRING", "integer": "BIGINT|DECIMAL\\([0-9]+,0\\)", "number": "BIGINT|DOUBLE|DECIMAL.*", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "OBJECT.*", "null": "VOID"}
@@ -72,26 +74,43 @@ def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     turns = nodes.select(F.col("node").alias("of"), F.col("turn").alias("needed"))
     early = edges.join(turns, edges["needs"] == turns["of"]).join(nodes.select("node", "turn"), "node").where("needed >= turn")
     wrong = cut(early.select(F.col("conversation").alias("in")).distinct(), "chat-disordered")
-    nowhere = nodes.select("node", F.col("turn").alias("place")).limit(0)
-    if not wrong.limit(1).count():
-        return nowhere
     n = wrong.count()
-    left = cut(nodes.join(small(wrong, n), F.col("conversation").eqNullSafe(F.col("in")), "left_semi"), "chat-left")
-    links = cut(edges.join(small(wrong, n), F.col("conversation").eqNullSafe(F.col("in")), "left_semi").select("node", "needs").distinct(), "chat-links")
-    done = nowhere
-    step = 0
-    while True:
-        step += 1
-        ready = left.join(links, "node", "left").groupBy("node", "turn").agg(F.count("needs").alias("n"))
-        placed = done.select(F.col("node").alias("needs"), "place")
-        met = links.join(placed, "needs").groupBy("node").agg(F.count("*").alias("met"), F.max("place").alias("last"))
-        now = ready.join(met, "node", "left").where(F.col("n") == F.coalesce("met", F.lit(0)))
-        now = cut(now.select("node", F.greatest("turn", F.coalesce(F.col("last") + 1, F.col("turn"))).alias("place")), f"chat-placed-{step}")
-        if not now.limit(1).count():
+    if not n:
+        return nodes.select("node", F.col("turn").alias("place")).limit(0)
+    within = lambda rows: rows.join(small(wrong, n), F.col("conversation").eqNullSafe(F.col("in")), "left_semi")
+    sizes = within(nodes).groupBy("conversation").agg(F.count("*").alias("size")).select(F.col("conversation").alias("in"), "size")
+    sized = within(nodes).join(small(sizes, n), F.col("conversation").eqNullSafe(F.col("in")))
+    # place: the latest that is known of it; size: more steps than it has nodes go through a cycle
+    held = cut(sized.select("node", F.col("turn").alias("place"), "size", F.lit(False).alias("cyclic")), "chat-nodes")
+    links = cut(within(edges).select("node", "needs").distinct().withColumn("steps", F.lit(1).cast("long")), "chat-links")
+    n_links = links.count()
+    while n_links:
+        out = links.groupBy("node").agg(F.count("*").alias("n"), F.first("needs").alias("next"), F.first("steps").alias("far"))
+        known = held.join(out, "node", "left").select(F.col("node").alias("needed"), F.col("place").alias("at"), F.col("cyclic").alias("bad"), "n", "next", "far")
+        met = links.join(known, F.col("needs") == F.col("needed")).join(held.select("node", "size"), "node")
+        one = F.col("n") == 1
+        met = met.select(
+            "node",
+            F.when(F.col("n").isNull(), F.lit(None)).when(one, F.col("next")).otherwise(F.col("needs")).alias("needs"),
+            F.when(one, F.col("steps") + F.col("far")).otherwise(F.col("steps")).alias("steps"),
+            (F.col("at") + F.col("steps")).alias("least"),
+            "bad",
+            "size",
+        )
+        met = cut(met.withColumn("bad", F.col("bad") | (F.col("steps") > F.col("size"))), "chat-met")
+        new = met.groupBy("node").agg(F.max("least").alias("least"), F.max("bad").alias("bad"))
+        placed = held.join(new, "node", "left").select("node", F.greatest("place", F.coalesce("least", "place")).alias("place"), "size", (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
+        after = met.where("needs is not null").join(new.where("bad").select("node"), "node", "left_anti")
+        after = cut(after.groupBy("node", "needs").agg(F.max("steps").alias("steps")), "chat-links")
+        same = links.join(after.withColumnRenamed("steps", "now"), ["node", "needs"]).where("steps = now").count()
+        held = cut(placed, "chat-nodes")
+        if same == n_links:
+            # all that is left needs several, each of which needs several: no end is ever reached
+            stuck = links.select("node").distinct().withColumn("stuck", F.lit(True))
+            held = held.join(stuck, "node", "left").select("node", "place", "size", (F.col("cyclic") | F.col("stuck").isNotNull()).alias("cyclic"))
             break
-        done = cut(done.unionByName(now), f"chat-done-{step}")
-        left = cut(left.join(now, "node", "left_anti"), f"chat-left-{step}")
-    return done.unionByName(left.select("node", F.lit(None).cast("long").alias("place")))
+        links, n_links = after, after.count()
+    return held.select("node", F.when(~F.col("cyclic"), F.col("place")).alias("place"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -141,46 +160,103 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
 
 
 def as_calls(conversations: DataFrame) -> DataFrame:
-    """Messages of plain conversations: a user's turn calls the tool `answer`, after the user's last turn; the assistant's next turn is its result."""
-    turn, role = F.col("turn"), F.col("role")
+    """Messages of plain conversations: a user's turn calls a tool, the assistant's next turn is its result.
+
+    Plain conversations have no calls, so they are made up by rules from the text's length n, faulty ones among them. Tool and
+    arguments by n % 6: 1 the turn as text, 2 no turn, 3 also max_words, 4 a field that the schema lacks, 5 a tool that isn't known.
+    What a call waits for: the user's next call if n % 4 is 0, else the one before, unless that waits itself and n % 3 isn't 0 (if
+    it is, the two make a cycle); and the conversation's first call if n % 5 is 0.
+    """
+    turn, user, assistant = F.col("turn"), F.col("role") == "user", F.col("role") == "assistant"
     identifier = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
-    before = F.lag("turn").over(Window.partitionBy("conv_id", "role").orderBy("turn"))
-    user, assistant = role == "user", role == "assistant"
-    return conversations.select(
+    by_role = Window.partitionBy("conv_id", "role").orderBy("turn")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    known = conversations.select(
+        "conv_id", "turn", "role", "text", n.alias("n"),
+        F.lag("turn").over(by_role).alias("before"), F.lead("turn").over(by_role).alias("next"), F.first("turn").over(by_role).alias("first"),
+        F.lag(n % 4 == 0).over(by_role).alias("waits"),
+    )
+    kind = F.col("n") % 6
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    prompt = F.when(F.col("text").isNotNull(), F.regexp_extract(F.to_json(F.struct(F.col("text").alias("prompt"))), r"(?s)^\{(.*)\}$", 1))
+    number = turn.cast("string")
+    fields = F.array(
+        F.when(kind == 1, field("turn", F.concat(F.lit('"'), number, F.lit('"')))).when(kind != 2, field("turn", number)),
+        prompt,
+        F.when(kind == 3, field("max_words", F.col("n").cast("string"))),
+        F.when(kind == 4, field("words", F.col("n").cast("string"))),
+    )
+    ahead = (F.col("n") % 4 == 0) & F.col("next").isNotNull()
+    back = F.col("before").isNotNull() & (~F.col("waits") | (F.col("n") % 3 == 0))
+    wanted = F.array_compact(F.array(F.when(ahead, identifier(F.col("next"))).when(back, identifier(F.col("before"))), F.when((F.col("n") % 5 == 0) & (F.col("first") < turn), identifier(F.col("first")))))
+    return known.select(
         "conv_id",
         "turn",
         F.when(user, "call").when(assistant, "result").otherwise("message").alias("kind"),
         "role",
         F.when(user, identifier(turn)).when(assistant, identifier(turn - 1)).alias("call_id"),
-        F.when(user, "answer").alias("name"),
-        F.when(user, F.to_json(F.struct(turn.alias("turn"), F.col("text").alias("prompt")))).alias("arguments"),
-        F.when(user & before.isNotNull(), F.array(identifier(before))).alias("after"),
+        F.when(user & (kind == 5), "guess").when(user, "answer").alias("name"),
+        F.when(user, F.concat(F.lit("{ "), F.array_join(F.array_compact(fields), ", "), F.lit(" }"))).alias("arguments"),
+        F.when(user, wanted).alias("after"),
         "text",
     )
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schemas = spark.createDataFrame(list(ANSWER), "name string, field string, type string, required boolean")
-    linked = link_tool_calls(as_calls(table(spark, sf_dir, "conversations")), schemas)
+    linked = link_tool_calls(as_calls(table(spark, sf_dir, "conversations")), literal_rows(spark, ANSWER, ("name", "field", "type", "required")))
     return linked.withColumn("problems", F.array_join("problems", "; "))
 
 
 QUERIES = {"op4_chat_formatting": op4_chat_formatting}
 
 SQL = {
-    "op4_chat_formatting": """
-WITH m AS (
+    "op4_chat_formatting": r"""
+WITH RECURSIVE t AS (SELECT *, coalesce(length(text), 0) AS n FROM conversations),
+u AS (
+  SELECT *, lag(turn) OVER w AS before, lead(turn) OVER w AS next, first(turn) OVER w AS head, lag(n % 4 = 0) OVER w AS waits
+  FROM t WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)),
+m AS (
   SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id
-  FROM conversations),
+         CASE role WHEN 'user' THEN conv_id || '-' || turn WHEN 'assistant' THEN conv_id || '-' || (turn - 1) END AS call_id,
+         CASE WHEN role = 'user' AND n % 4 = 0 AND next IS NOT NULL THEN next WHEN role = 'user' AND before IS NOT NULL AND (NOT waits OR n % 3 = 0) THEN before END AS one,
+         CASE WHEN role = 'user' AND n % 5 = 0 AND head < turn THEN head END AS two
+  FROM u),
 l AS (
   SELECT *, CASE WHEN kind <> 'message' THEN EXISTS (
            SELECT 1 FROM m o WHERE o.call_id = m.call_id AND o.conv_id = m.conv_id AND o.kind <> m.kind AND o.kind <> 'message') END AS linked
-  FROM m)
-SELECT conv_id, turn, kind, call_id, linked, linked AS valid,
-       CASE WHEN linked IS NULL OR linked THEN '' WHEN kind = 'call' THEN 'no result' ELSE 'no call' END AS problems, turn AS place,
-       CASE kind WHEN 'call' THEN json_object('arguments', json_object('prompt', text, 'turn', turn), 'id', call_id, 'name', 'answer', 'role', 'assistant', 'type', 'tool_call')
+  FROM m),
+-- what a message needs: a result its call (the turn before), a call the results of those it waits for, or those calls if they have none
+edges AS (
+  SELECT conv_id, turn, turn - 1 AS needs FROM l WHERE kind = 'result' AND linked
+  UNION
+  SELECT c.conv_id, c.turn, CASE WHEN w.linked THEN w.turn + 1 ELSE w.turn END
+  FROM l c JOIN l w ON w.conv_id = c.conv_id AND w.kind = 'call' AND (w.turn = c.one OR w.turn = c.two) WHERE c.kind = 'call'),
+sizes AS (SELECT conv_id, count(*) AS size FROM m WHERE kind <> 'message' GROUP BY conv_id),
+walks AS (
+  SELECT conv_id, turn, turn AS place, 0 AS steps FROM m WHERE kind <> 'message'
+  UNION
+  SELECT w.conv_id, w.turn, e.needs, w.steps + 1
+  FROM walks w JOIN edges e ON e.conv_id = w.conv_id AND e.turn = w.place JOIN sizes s ON s.conv_id = w.conv_id WHERE w.steps <= s.size),
+places AS (
+  SELECT conv_id, turn, max(steps) > any_value(size) AS cyclic, max(place + steps) AS place FROM walks JOIN sizes USING (conv_id) GROUP BY conv_id, turn),
+faults AS (
+  SELECT l.*, coalesce(cyclic, false) AS cyclic, CASE WHEN cyclic OR cyclic IS NULL THEN l.turn ELSE place END AS place, list_sort(list_filter([
+           CASE WHEN kind = 'call' AND NOT linked THEN 'no result' WHEN kind = 'result' AND NOT linked THEN 'no call' END,
+           CASE WHEN cyclic THEN 'in or behind a cycle' END,
+           CASE WHEN kind = 'call' AND n % 6 = 5 THEN 'unknown tool' END,
+           CASE WHEN kind = 'call' AND n % 6 = 1 THEN 'type: turn' END,
+           CASE WHEN kind = 'call' AND n % 6 = 2 THEN 'missing: turn' END,
+           CASE WHEN kind = 'call' AND n % 6 <> 5 AND text IS NULL THEN 'missing: prompt' END,
+           CASE WHEN kind = 'call' AND n % 6 = 4 THEN 'not in the schema: words' END], lambda x: x IS NOT NULL)) AS problems
+  FROM l LEFT JOIN places USING (conv_id, turn))
+SELECT conv_id, turn, kind, call_id, linked, CASE WHEN kind <> 'message' THEN len(problems) = 0 END AS valid,
+       array_to_string(problems, '; ') AS problems, place,
+       CASE kind WHEN 'call' THEN json_object('arguments', CASE n % 6
+                        WHEN 1 THEN json_object('prompt', text, 'turn', turn::VARCHAR) WHEN 2 THEN json_object('prompt', text)
+                        WHEN 3 THEN json_object('max_words', n, 'prompt', text, 'turn', turn) WHEN 4 THEN json_object('prompt', text, 'turn', turn, 'words', n)
+                        ELSE json_object('prompt', text, 'turn', turn) END,
+                      'id', call_id, 'name', CASE n % 6 WHEN 5 THEN 'guess' ELSE 'answer' END, 'role', 'assistant', 'type', 'tool_call')
                  WHEN 'result' THEN json_object('content', text, 'id', call_id, 'role', 'tool', 'type', 'tool_result')
                  ELSE json_object('content', text, 'role', role) END::VARCHAR AS json
-FROM l""",
+FROM faults""",
 }
