@@ -4,15 +4,17 @@ Listed keys are canonical addresses (host and path, sorted query without trackin
 path of rules. A rule fits its host and all subdomains if the path starts with the rule's; the longest one that fits
 decides. Without a rule, a listed address is blocked and everything else allowed.
 
-Each distinct url gives its candidate keys: its canonical address, and for every shape of rule (number of host labels,
-length of path) its own host suffix and path start of that shape. A candidate whose bits are all set in its block of the
-Bloom filter goes on to the exact join, which removes false positives.
-
-Scale: a block is one 64-bit word, so probing is one join on the block's number. The filter has at most MAX_BLOCKS words
-(8 MB of bits) whatever the size of the list, so its broadcast is bounded; a longer list only lets more candidates through
-to the exact join. That is a broadcast only for lists counted within the bound, else a plain join with one row a key,
-whose skewed keys Spark splits. Urls are made distinct first (with partial sums), so a url on a third of all pages costs
-one row a task. The number of candidates of a url is that of the rules' shapes plus one, whatever its length.
+Each distinct url gives its candidate keys: its canonical address, and for each suffix of its host the host of a rule. A
+candidate whose bits are all set in its block of the Bloom filter goes on to the exact join, which removes false positives.
+A rule's host that was found names the lengths of its rules' paths, and the url's path starts of these lengths are the
+candidates of a second pass through the same filter and join.
+
+Scale: a block is one 64-bit word for KEYS_A_BLOCK keys, so the filter grows with the list and probing is one join on the
+block's number: a broadcast up to MAX_BLOCKS words (16 MB), beyond that a join that is dealt out by block, so neither
+side is ever held whole. The exact join is a broadcast only for lists counted within the bound, else a plain join with one
+row a key, whose skewed keys Spark splits. Urls are made distinct first (with partial sums), so a url on a third of all
+pages costs one row a task. A url has no more candidates than labels (at most as many as the longest listed host) and
+different lengths of path among the rules of its hosts. Of rules and list the driver gets counts only.
 
 Defined cases: a null url or one without :// has empty host and path, no rule, and is allowed; an empty path fits only an
 empty rule path; null entries of the list are ignored, repeated ones count once; of rules of equal host and path, block
@@ -24,8 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import cut, small, table
+from chainlake.llm.shared import cut, literal_rows, small, table
 
+#: Blocks of a filter that is broadcast; larger ones are joined by block.
 MAX_BLOCKS = 1 << 20
 #: Keys for each 64-bit block, and bits set for each key.
 KEYS_A_BLOCK = 4
@@ -72,10 +75,10 @@ def _mask(key: Column) -> Column:
     return mask
 
 
-def blocked_bloom(keys: DataFrame, n_keys: int, max_blocks: int = MAX_BLOCKS) -> tuple[DataFrame, int]:
+def blocked_bloom(keys: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     """keys: key. The filter's words that are not zero (block, word), and its number of blocks, a power of two."""
     blocks = 64
-    while blocks < max_blocks and blocks * KEYS_A_BLOCK < n_keys:
+    while blocks * KEYS_A_BLOCK < n_keys:
         blocks *= 2
     words = keys.select(_block(F.col("key"), blocks).alias("block"), _mask(F.col("key")).alias("bits"))
     return words.groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
@@ -86,26 +89,33 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, *, max_bl
 
     rules: host, path, verdict (allow or block). listed: url, of any form.
     """
-    named = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    by_rule = named.select(F.concat(F.lit("rule "), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("chars"))
-    by_address = listed.where("url like '%://%'").select(F.concat(F.lit("page "), canonical(F.col("url"))).alias("key")).distinct()
-    keys = cut(by_rule.unionByName(by_address.select("key", *(F.lit(None).cast(k).alias(c) for c, k in (("rule", "string"), ("verdict", "string"), ("labels", "int"), ("chars", "int"))))), "url-keys")
-    n_keys = keys.count()
-    words, blocks = blocked_bloom(keys, n_keys, max_blocks)
-    shapes = keys.where("labels is not null").select("labels", "chars").distinct().collect()  # numbers of labels and characters that rules have
-
-    urls = pages.select("url").where("url like '%://%'").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("address"))
+    named = rules.where("host is not null and path is not null").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    none = lambda **kinds: [F.lit(None).cast(k).alias(c) for c, k in kinds.items()]
+    by_rule = named.select(F.concat(F.lit("rule "), "host", "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", *none(chars="array<int>"))
+    by_host = named.groupBy("host").agg(F.sort_array(F.collect_set(F.length("path"))).alias("chars")).select(F.concat(F.lit("host "), "host").alias("key"), *none(rule="string", verdict="string"), "chars")
+    by_address = listed.where("url like '%://%'").select(F.concat(F.lit("page "), canonical(F.col("url"))).alias("key")).distinct().select("key", *none(rule="string", verdict="string", chars="array<int>"))
+    keys = cut(by_rule.unionByName(by_host).unionByName(by_address), "url-keys")
+    counted = keys.agg(F.count("*").alias("n"), F.max(F.when(F.col("chars").isNotNull(), F.size(F.split("key", r"\.")))).alias("labels")).first()
+    n_keys, most_labels = counted["n"], counted["labels"] or 0
+    words, blocks = blocked_bloom(keys.select("key"), n_keys)
+    words = F.broadcast(words) if blocks <= max_blocks else cut(words, "url-filter")
+
+    def hits(candidates: DataFrame) -> DataFrame:
+        probed = candidates.withColumn("block", _block(F.col("key"), blocks)).join(words, "block")
+        possible = probed.where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("url", "key")
+        return possible.join(small(keys, n_keys), "key")
+
+    urls = pages.select("url").where("url like '%://%'").distinct()
     labels = F.split("host", r"\.")
-    candidates = [F.concat(F.lit("page "), "address")]
-    for s in shapes:
-        suffix = F.array_join(F.slice(labels, -s["labels"], s["labels"]), ".")
-        fits = (F.size(labels) >= s["labels"]) & (F.length("path") >= s["chars"])
-        candidates.append(F.when(fits, F.concat(F.lit("rule "), suffix, F.substring("path", 1, s["chars"]))))
-    candidates = urls.select("url", F.explode(F.array_compact(F.array(*candidates))).alias("key"))
-    probed = candidates.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(words), "block")
-    possible = probed.where(F.col("word").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("url", "key")
-    hits = possible.join(small(keys.select("key", "rule", "verdict"), n_keys), "key")
-    judged = hits.groupBy("url").agg(
+    own = urls.select("url", host_of(F.col("url")).alias("host"), F.concat(F.lit("page "), canonical(F.col("url"))).alias("address"))
+    own = own.withColumn("labels", labels).withColumn("most", F.least(F.size("labels"), F.lit(most_labels)))
+    suffixes = F.transform(F.sequence(F.lit(1), F.col("most")), lambda k: F.concat(F.lit("host "), F.array_join(F.slice("labels", -k, k), ".")))
+    suffixes = F.when(F.col("most") > 0, suffixes).otherwise(F.array().cast("array<string>"))
+    first = cut(hits(own.select("url", F.explode(F.concat(F.array("address"), suffixes)).alias("key"))), "url-hits")
+    of_host = first.where("chars is not null").select("url", F.substr(F.col("key"), F.lit(6)).alias("suffix"), path_of(F.col("url")).alias("path"), F.explode("chars").alias("chars"))
+    starts = of_host.where(F.length("path") >= F.col("chars")).select("url", F.concat(F.lit("rule "), "suffix", F.substr(F.col("path"), F.lit(1), F.col("chars"))).alias("key"))
+    found = first.where("chars is null").unionByName(hits(starts))
+    judged = found.groupBy("url").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best"),
         F.max(F.col("rule").isNull()).alias("listed"),
     )
@@ -119,7 +129,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, *, max_bl
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list stands for one of promoted addresses: those that some page was reached at by a link with a utm_source."""
     pages = table(spark, sf_dir, "pages")
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rules = literal_rows(spark, RULES, ("host", "path", "verdict"))
     listed = pages.select("url").where(r"url rlike '[?&]utm_source='")
     return filter_urls(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
 
