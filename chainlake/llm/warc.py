@@ -5,11 +5,13 @@ revisits that refer to it; smaller payloads are all responses. Each record is a
 most about ARCHIVE_BYTES that tasks write to the shared folder; a manifest (Parquet, committed by Spark) names the archives
 of the attempts that count, so files of lost or repeated attempts are never read.
 
-Reading: a member is good if it inflates, its checksum and length hold, it starts with a version line, its headers parse,
-its block has the stated length and ends in two line ends, and its block digest holds. After a failed check the reader
-searches from the next byte for the next member that is good (or, in plain archives, the next version line that starts a
-good record), and logs the bytes skipped as a quarantined gap (archive, offset, length, reason). Archives are read in steps;
-only one record is held at a time.
+Reading: a member is good if it inflates, its checksum and length hold, and it holds a good record: one that starts with a
+version line, its headers parse, its block has the stated length and ends in two line ends, and its block digest holds. A
+member with several records gives each; what fails between them is searched for the next version line and logged. After a
+failed check the reader searches from the next byte for the next member that is good (or, in plain archives, the next version
+line that starts a good record), and logs the bytes skipped as a quarantined gap (archive, offset, length, reason). Of a
+member that is damaged, the records before the damage are kept. Archives are read in steps; only one member is held at a
+time; the search goes over each byte once for members and once for version lines.
 
 Scale: digests and lengths are made by Spark's functions. Only ids and digests are grouped; the winner's id comes back to
 the rows by a plain join on the digest, whose skewed keys Spark splits, so a payload that a third of all pages share is
@@ -39,6 +41,9 @@ ARCHIVE_BYTES = 256 << 20
 _STEP = 1 << 20
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+_BLANK = b"\r\n\r\n"
+#: A record's headers end within so many bytes.
+HEADERS_BYTES = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,15 +99,15 @@ class Bad(Exception):
     pass
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Headers (names in lower case), block and length of the record that data starts with; Bad, with the reason, if a check fails."""
-    if not _VERSION.match(data):
+def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """Headers (names in lower case), block and end of the record that data has at `at`; Bad, with the reason, if a check fails."""
+    if not _VERSION.match(data, at):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(_BLANK, at, at + HEADERS_BYTES)
     if end < 0:
         raise Bad("headers don't end")
     headers = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon or not name.strip():
             raise Bad("a header has no name")
@@ -111,69 +116,115 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
     if not (length.isascii() and length.isdigit()) or "warc-type" not in headers or "warc-record-id" not in headers:
         raise Bad("a required header is missing")
     stop = end + 4 + int(length)
-    block = data[end + 4 : stop]
-    if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n":
+    if stop + 4 > len(data) or data[stop : stop + 4] != _BLANK:
         raise Bad("the block's length is wrong")
+    block = data[end + 4 : stop]
     digest = headers.get("warc-block-digest")
     if digest and digest.startswith("sha1:") and digest != sha1_label(block):
         raise Bad("the block's digest is wrong")
     return headers, block, stop + 4
 
 
-def _inflate(source: Source, offset: int) -> tuple[bytes, int]:
-    """The member's content and its length in the file."""
+def inside(data: bytes, until_bad: bool = False) -> Iterator[tuple]:
+    """("record", headers, block) and ("gap", first byte, bytes, reason) of a member's content; only the records up to the first gap if until_bad."""
+    at, lost, why = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, end = parse(data, at)
+        except Bad as e:
+            if until_bad:
+                return
+            if lost is None:
+                lost, why = at, str(e)
+            at = data.find(b"WARC/1.", at + 1)
+            at = len(data) if at < 0 else at
+            continue
+        if lost is not None:
+            yield "gap", lost, at - lost, why
+            lost = None
+        yield "record", headers, block
+        at = end
+    if lost is not None:
+        yield "gap", lost, len(data) - lost, why
+
+
+def _inflate(source: Source, offset: int, at_once: int = 0) -> tuple[bytes, int, str | None]:
+    """What the member inflates to, its length in the file, and what is wrong with it. at_once: bytes to inflate at a time, so that
+    those before damage are kept (0: all, which is faster)."""
     if source.at(offset, 3) != _MEMBER:
-        raise Bad("no member starts here")
+        return b"", 0, "no member starts here"
     inflate, out, at = zlib.decompressobj(wbits=31), [], offset
     try:
         while not inflate.eof:
-            part = source.at(at, 1 << 16)
+            part = inflate.unconsumed_tail
             if not part:
-                raise Bad("the member is cut off")
-            out.append(inflate.decompress(part))
-            at += len(part)
-    except zlib.error as e:
-        raise Bad("the member doesn't inflate") from e
-    return b"".join(out), at - len(inflate.unused_data) - offset
+                part = source.at(at, 1 << 16)
+                at += len(part)
+                if not part:
+                    return b"".join(out), at - offset, "the member is cut off"
+            out.append(inflate.decompress(part, at_once))
+    except zlib.error:
+        return _inflate(source, offset, 512) if not at_once else (b"".join(out), at - offset, "the member doesn't inflate")
+    return b"".join(out), at - len(inflate.unused_data) - offset, None
 
 
 def _plain(source: Source, offset: int) -> tuple[dict[str, str], bytes, int]:
-    """The plain record at offset; more is read as its length asks for it."""
+    """The plain record at offset; its block is read only if what follows it is its end."""
     if not _VERSION.match(source.at(offset, 16)):
         raise Bad("no version line")
-    end = source.find(b"\r\n\r\n", offset)
-    head = source.at(offset, min(end + 4 - offset, 1 << 20))
-    m = re.search(rb"(?i)\ncontent-length:\s*(\d{1,18})\s*\r\n", head)
-    if not m:
-        raise Bad("a required header is missing")
-    return parse(source.at(offset, end + 4 - offset + int(m[1]) + 4))
+    head = source.at(offset, HEADERS_BYTES)
+    end = head.find(_BLANK)
+    m = re.search(rb"(?i)\ncontent-length:\s*(\d{1,18})\s*\r\n", head[: end + 4])
+    if end < 0 or not m:
+        raise Bad("a required header is missing" if end >= 0 else "headers don't end")
+    size = end + 4 + int(m[1])
+    if source.at(offset + size, 4) != _BLANK:
+        raise Bad("the block's length is wrong")
+    return parse(source.at(offset, size + 4))
 
 
 def salvage(file, size: int, step: int = _STEP) -> Iterator[tuple]:
-    """("record", offset, length, headers, block) and ("gap", offset, length, reason), in order, of a whole archive."""
+    """("record", offset, length, headers, block) and ("gap", offset, length, reason), in order, of a whole archive.
+
+    Records of one member share its offset and length, as do gaps inside of it; those saved from a damaged member have no
+    length, and the gap after them is all of the member.
+    """
     source, offset, lost, why = Source(file, size, step), 0, None, ""
-    packed = None
+    seen = {_MEMBER: -1, b"WARC/1.": -1}
+
+    def following(what: bytes, start: int) -> int:
+        if seen[what] < start:
+            seen[what] = source.find(what, start)
+        return seen[what]
+
     while offset < size:
-        try:
-            packed = source.at(offset, 3) == _MEMBER
-            if packed:
-                data, length = _inflate(source, offset)
-                headers, block, used = parse(data)
-                if used != len(data):
-                    raise Bad("the member holds more than a record")
+        items, problem = [], None
+        if source.at(offset, 3) == _MEMBER:
+            data, length, problem = _inflate(source, offset)
+            found = list(inside(data, until_bad=problem is not None))
+            if problem is None and not any(f[0] == "record" for f in found):
+                problem = found[0][3] if found else "the member is empty"
+            elif problem is None:
+                items = [("record", offset, length, *f[1:]) if f[0] == "record" else ("gap", offset, length, f"bytes {f[1]} to {f[1] + f[2]} inside the member: {f[3]}") for f in found]
             else:
+                items = [("record", offset, None, *f[1:]) for f in found]
+        else:
+            try:
                 headers, block, length = _plain(source, offset)
-        except Bad as e:
-            if lost is None:
-                lost, why = offset, str(e)
-            # the nearer of the next member and the next version line
-            offset = min(source.find(_MEMBER, offset + 1), source.find(b"WARC/1.", offset + 1))
-            continue
-        if lost is not None:
+                items = [("record", offset, length, headers, block)]
+            except Bad as e:
+                problem = str(e)
+        if lost is not None and items:
             yield "gap", lost, offset - lost, why
             lost = None
-        yield "record", offset, length, headers, block
-        offset += length
+        yield from items
+        if problem is None:
+            offset += length
+            continue
+        if lost is None:
+            lost, why = offset, problem
+        # the nearer of the next member and the next version line
+        offset = min(following(what, offset + 1) for what in seen)
     if lost is not None:
         yield "gap", lost, size - lost, why
 
@@ -260,7 +311,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     kinds = "path string, offset long, length long, problem string, record_type string, record_id string, refers_to string, url string, payload_digest string, payload binary"
     n = max(1, manifest.count())
-    return manifest.select("path", "bytes").repartition(min(n, 100_000), "path").mapInArrow(run, kinds)
+    # by range, as hashes of n paths would leave some of n tasks with several
+    return manifest.select("path", "bytes").repartitionByRange(min(n, 100_000), "path").mapInArrow(run, kinds)
 
 
 def page_records(records: DataFrame) -> DataFrame:

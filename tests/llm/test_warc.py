@@ -12,14 +12,15 @@ def rec(i, payload):
 
 
 def read(data, step=1 << 20):
-    records, gaps, at = {}, [], 0
+    records, gaps, at, last = {}, [], 0, (-1, 0)
     for item in warc.salvage(io.BytesIO(data), len(data), step):
-        assert item[1] == at  # records and gaps cover every byte
-        at += item[2]
+        if item[1:3] != last and item[2] is not None:  # several items of one member
+            assert item[1] == at  # records and gaps cover every byte
+            at, last = at + item[2], item[1:3]
         if item[0] == "record":
             records[item[3]["warc-record-id"]] = item[4]
         else:
-            gaps.append(item[1:3])
+            gaps.append(item[1:])
     assert at == len(data)
     return records, gaps
 
@@ -55,6 +56,47 @@ def test_damage_is_skipped_and_logged(packed, step):
         assert {int(k[10:-1]) for k in records} <= set(range(30)) and gaps
 
 
+def test_members_with_several_records():
+    bodies = payloads(9)
+    whole = [rec(i, p) for i, p in enumerate(bodies)]
+    want = {f"<urn:page:{i}>": p for i, p in enumerate(bodies)}
+    data = warc.member(b"".join(whole[:10])) + warc.member(b"".join(whole[10:]))
+    assert read(data) == (want, [])
+    hurt = b"".join([*whole[:4], whole[4].replace(b"Content-Length", b"Content-Lenght"), *whole[5:]])
+    records, gaps = read(warc.member(hurt))
+    assert {**records, "<urn:page:4>": bodies[4]} == want and len(records) == 29
+    assert [g[2] for g in gaps] == [f"bytes {sum(map(len, whole[:4]))} to {sum(map(len, whole[:5]))} inside the member: a required header is missing"]
+
+
+def test_records_before_damage_are_kept():
+    bodies = [random.Random(i).randbytes(3000) for i in range(40)]
+    good = warc.member(b"".join(rec(i, p) for i, p in enumerate(bodies)))
+    after = warc.member(rec(99, b"after"))
+    for part in (good[: len(good) // 2], good[: len(good) // 2] + b"\xff" * 200 + good[len(good) // 2 + 200 :], good[:-8] + b"\0" * 8):
+        records, gaps = read(part + after)
+        assert records.pop("<urn:page:99>") == b"after" and 15 <= len(records) <= 40
+        assert all(records[f"<urn:page:{i}>"] == bodies[i] for i in range(len(records)))
+        assert [g[:2] for g in gaps] == [(0, len(part))]
+
+
+def test_search_goes_over_each_byte_once():
+    """Many places that look like members, in one archive: each search starts where the last one ended."""
+    part = b"\x1f\x8b\x08" + b"\0" * 61
+    data = part * 3000 + rec(1, b"x" * 10)
+
+    class Counting(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n):
+            out = super().read(n)
+            Counting.read_bytes += len(out)
+            return out
+
+    found = list(warc.salvage(Counting(data), len(data), 4096))
+    assert [f[0] for f in found] == ["gap", "record"] and found[0][2] == 64 * 3000
+    assert Counting.read_bytes < 3000 * (1 << 16) * 2 + 10 * len(data)
+
+
 def plain(rows):
     bodies = [(i, (h or "").encode()) for i, _, h in rows]
     out = []
