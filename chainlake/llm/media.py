@@ -8,7 +8,7 @@ reading a member back gives the samples, and the features are made from those.
 Scale: tasks write shards of about SHARD_BYTES each to the shared folder while they read the texts, so no text is
 shuffled. A task stores a digest once; where several tasks met the same one, the index keeps one place for it (a grouped
 minimum), and the others are dead bytes, at most one copy a task. Only what the committed index names is read: shards of
-lost or repeated attempts are never looked at. Members are read back in order of shard and offset, in steps, each once
+lost or repeated attempts are never looked at. Members are read back in order of shard and offset, TASK_BYTES a task, in steps, each once
 however many rows share it; rows get their columns by a plain join on the digest, whose skewed keys Spark splits.
 
 Defined cases: null and empty texts are 64 zero bytes with n_bytes 0; repeated rows share one member; null ids are kept; an
@@ -31,6 +31,9 @@ from chainlake.llm.warc import Source, open_shared
 
 ROW = 64
 SHARD_BYTES = 256 << 20
+#: Bytes of members that a task reads back, up to so many tasks.
+TASK_BYTES = 16 << 20
+MOST_TASKS = 100_000
 #: Signature and first chunk of the image: all that metadata needs.
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -148,10 +151,11 @@ def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
 
 def members(index: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: one place of each digest, in order of place."""
+    """digest, shard, offset, length: one place of each digest, in order of place, TASK_BYTES of members a task."""
     place = F.min(F.struct("shard", "offset", "length")).alias("at")
-    found = index.groupBy("digest").agg(place).select("digest", "at.*")
-    return found.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    found = cut(index.groupBy("digest").agg(place).select("digest", "at.*"), "media-members")
+    n = (found.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
+    return found.repartitionByRange(min(n, MOST_TASKS), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
 def _by_range(step: int, use):
