@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import cut, small, table, word_count
+from chainlake.llm.shared import cut, row_of, small, table, word_count
 
 #: Steps of virtual time up to 1 that are summed to find where the budget ends.
 SLICES = 65_536
@@ -108,13 +108,14 @@ def mix_sources(docs: DataFrame, *, weights: tuple[int, ...] = (5, 2, 1), share:
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, as often as the mix takes them (rows of equal doc_id, text and source together)."""
-    copies = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("_copies")
-    taken = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(copies).where("_copies > 0")
-    taken = taken.select(F.struct("doc_id", "text_hash", "source").alias("_of"), "_copies")
-    keyed = docs.select(*(docs[c] for c in docs.columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash"), docs["source"]).alias("_key"))
-    joined = keyed.join(taken, keyed["_key"].eqNullSafe(taken["_of"]))
-    once = joined.withColumn("_again", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_again = 1")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)).cast("int").alias("copies")
+    taken = mix_sources(docs, **options).groupBy("doc_id", "text_hash", "source").agg(copies).where("copies > 0")
+    taken = taken.select(F.struct("doc_id", "text_hash", "source").alias("of"), "copies")
+    keyed = docs.select(row_of(docs)).select("row", F.struct("row.doc_id", F.xxhash64("row.text").alias("text_hash"), "row.source").alias("key"))
+    # a struct equals another with nulls in the same places
+    joined = keyed.join(taken, F.col("key") == F.col("of"))
+    once = joined.withColumn("again", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("again = 1")
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import cut, table
+from chainlake.llm.shared import cut, row_of, table
 
 WORDS = 4
 SEED = 42
@@ -173,24 +173,21 @@ def links_between(fps: DataFrame, *, distance: int = DISTANCE, crowd: int = CROW
         raise ValueError("three segments find up to 5 differing bits")
     keyed = fps.select("fp", F.explode(F.array(*_variants(F.col("fp"), SEGMENTS))).alias("key"))
     shared = keyed.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1")
-    shared = shared.persist()  # its keys are read once for the small groups and once for the crowds
-    try:
-        pairs = shared.where(F.col("members") <= crowd).select("key", "fp").sortWithinPartitions("key").mapInArrow(_compare(distance), "a long, b long")
-        near = cut(pairs.distinct(), "links-near")
-        crowded = shared.where(F.col("members") > crowd).select("key", "fp")
-        if not crowded.limit(1).count():
-            return near
-        variant = F.shiftright("key", 32)
-        finer = F.lit(None).cast("array<bigint>")
-        for segment in SEGMENTS:
-            within = (variant >= segment[0]) & (variant < segment[0] + segment[1])
-            finer = F.when(within, F.array(*_variants(F.col("fp"), _thirds(segment)))).otherwise(finer)
-        again = crowded.select("key", F.explode(finer).alias("second"), "fp")
-        shared_again = again.withColumn("members", F.count("*").over(Window.partitionBy("key", "second"))).where("members > 1")
-        pairs = shared_again.select("key", "second", "fp").sortWithinPartitions("key", "second").mapInArrow(_compare(distance), "a long, b long")
-        return near.unionByName(cut(pairs.distinct(), "links-far"))
-    finally:
-        shared.unpersist()
+    shared = cut(shared, "shared-keys")  # read once for the small groups and once for the crowds
+    pairs = shared.where(F.col("members") <= crowd).select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(_compare(distance), "a long, b long")
+    near = cut(pairs.distinct(), "links-near")
+    crowded = shared.where(F.col("members") > crowd).select("key", "fp")
+    if not crowded.limit(1).count():
+        return near
+    variant = F.shiftright("key", 32)
+    finer = F.lit(None).cast("array<bigint>")
+    for segment in SEGMENTS:
+        within = (variant >= segment[0]) & (variant < segment[0] + segment[1])
+        finer = F.when(within, F.array(*_variants(F.col("fp"), _thirds(segment)))).otherwise(finer)
+    again = crowded.select("key", F.explode(finer).alias("second"), "fp")
+    shared_again = again.withColumn("members", F.count("*").over(Window.partitionBy("key", "second"))).where("members > 1")
+    pairs = shared_again.select("key", "second", "fp").sortWithinPartitions("key", "second").mapInArrow(_compare(distance), "a long, b long")
+    return near.unionByName(cut(pairs.distinct(), "links-far"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,11 +225,11 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, crowd: int = C
 def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """grouped: doc_id, text_hash, root of every row of docs. Of each root the row with the least doc_id (null last; then by text hash), with all its columns, once."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
-    stays = grouped.groupBy("root").agg(F.min(order).alias("_stays")).select(F.struct("_stays.doc_id", "_stays.text_hash").alias("_stays"))
-    keyed = docs.select(*(docs[c] for c in docs.columns), F.struct(docs["doc_id"], F.xxhash64(docs["text"]).alias("text_hash")).alias("_key"))
-    kept = keyed.join(stays, keyed["_key"].eqNullSafe(stays["_stays"]), "left_semi")
-    again = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return kept.withColumn("_again", again).where("_again = 1").drop("_again", "_key")
+    stays = grouped.groupBy("root").agg(F.min(order).alias("stays")).select(F.struct("stays.doc_id", "stays.text_hash").alias("stays"))
+    keyed = docs.select(row_of(docs)).select("row", F.struct("row.doc_id", F.xxhash64("row.text").alias("text_hash")).alias("key"))
+    # a struct equals another with nulls in the same places
+    kept = keyed.join(stays, F.col("key") == F.col("stays"), "left_semi")
+    return kept.withColumn("again", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("again = 1").select("row.*")
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
