@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainlake.operators.ordered import carried
+
 WHOLE_ROW, ROW_HASH = -1, -2
 
 
@@ -55,11 +57,8 @@ def _nearest(targets: DataFrame, records: DataFrame, on: str, keys: list[str], l
     both = targets.select(*(F.col(c) for c in targets.columns), F.lit(None).cast(records.select(value).schema["_rec"].dataType).alias("_rec"), F.lit(1).alias("_t"))
     probe = [c if c in (*keys, on) else None for c in targets.columns]
     extra = records.select(*(F.col(c) if c else F.lit(None).cast(targets.schema[n].dataType).alias(n) for c, n in zip(probe, targets.columns)), value, F.lit(0).alias("_t"))
-    # one sort by (keys, on) instead of a range join; a record at the target's own place counts in both directions
-    part = Window.partitionBy(*(keys or [F.lit(1)]))
-    order = part.orderBy(F.col(on).desc(), "_t") if later else part.orderBy(F.col(on), "_t")
-    found = F.last("_rec", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    out = both.unionByName(extra).withColumn("_found", found).where("_t = 1")
+    # one order over both instead of a range join; a record at the target's own place counts in both directions
+    out = carried(both.unionByName(extra), F.col("_rec"), on, then=("_t",), keys=tuple(keys), descending=later, name="_found").where("_t = 1")
     return out.select(*targets.columns, *(F.col(f"_found.{c}").alias(f"near_{c}") for c in records.columns if c not in keys))
 
 
@@ -109,19 +108,23 @@ def notary_monotone(notarized: DataFrame, keys: list[str] | None = None) -> Data
     return best.withColumn("_above", F.min("utc").over(above)).where("_above is null or utc < _above").drop("_above")
 
 
-def witness_rows(chain: DataFrame, exponent: int, include_last: bool = True, after: int = 0, limit: int = 1 << 20) -> DataFrame:
-    """Rows to witness: beyond `after`, those that 2 ** exponent divides, and the last one."""
-    tooth = chain.where((F.col("row_no") > after) & (F.col("row_no") % (1 << exponent) == 0)).select("ledger_id", "row_no").orderBy("row_no").limit(limit)
+def witness_rows(chain: DataFrame, exponent: int, include_last: bool = True, after: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows to witness: beyond `after`, those that 2 ** exponent divides (the first `limit` of each ledger, if asked), and the last one."""
+    new = chain.where(F.col("row_no") > after).select("ledger_id", "row_no")
+    tooth = new.where(F.col("row_no") % (1 << exponent) == 0)
+    if limit is not None:
+        # numbers have no gaps, so the limit is a number; at most one row of every step is left
+        tooth = tooth.where(F.col("row_no") <= F.lit((after >> exponent) + limit) * (1 << exponent))
     if not include_last:
         return tooth
-    return tooth.unionByName(chain.where(F.col("row_no") > after).groupBy("ledger_id").agg(F.max("row_no").alias("row_no"))).distinct()
+    return tooth.unionByName(new.groupBy("ledger_id").agg(F.max("row_no").alias("row_no"))).distinct()
 
 
 def thin_witnesses(records: DataFrame, bucket_millis: int = 10_000, keys: list[str] | None = None) -> DataFrame:
     """Records (row_no, utc) whose time falls into another step of bucket_millis than the record before, by row."""
-    before = F.lag("utc").over(Window.partitionBy(*(keys or [F.lit(1)])).orderBy("row_no"))
     step = lambda c: F.floor(c / bucket_millis)
-    return records.withColumn("_before", before).where(F.col("_before").isNull() | (step(F.col("utc")) != step(F.col("_before")))).drop("_before")
+    found = carried(records, F.col("utc"), "row_no", keys=tuple(keys or ()), own=False, name="_before")
+    return found.where(F.col("_before").isNull() | (step(F.col("utc")) != step(F.col("_before")))).select(*records.columns)
 
 
 def witness_zip(records: DataFrame, rows: DataFrame) -> DataFrame:

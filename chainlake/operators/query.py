@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chainlake.operators.rows import number_rows
+
 OPERATORS = ("+", "-", "*", "/")
 COMPARISONS = ("=", ">", ">=", "<", "<=")
 ROW_NO = 0
@@ -274,11 +276,9 @@ def formatted(kind: str, value: Column, *, pattern: str | None = None, prefix: s
 def report_table(rows: DataFrame, templates: list[Column], *, order: str = "row_no", fixed: dict[int, str] | None = None) -> DataFrame:
     """(r, c, text): one table row a source row, a column for each template; `fixed` pins texts by cell index (r * width + c), negative
     ones counted from the end."""
-    from pyspark.sql import Window
-
     width = len(templates)
-    numbered = rows.withColumn("_r", F.row_number().over(Window.orderBy(order)) - 1)
-    cells = numbered.select(F.col("_r").alias("r"), F.posexplode(F.array(*(t.cast("string") for t in templates))).alias("c", "text"))
+    numbered = number_rows(rows, [order], "_r").withColumn("_r", F.col("_r") - 1)
+    cells = numbered.select(F.col("_r").cast("int").alias("r"), F.posexplode(F.array(*(t.cast("string") for t in templates))).alias("c", "text"))
     if not fixed:
         return cells
     n = numbered.count() * width
