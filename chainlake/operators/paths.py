@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainlake.functions import cells as C
+from chainlake.functions import merkle
 from chainlake.functions import rownumbers as R
 from chainlake.operators import chain as H
+from chainlake.operators.ordered import carried
 
 
 def path_of(chain: DataFrame, targets: list[int], path_id: str = "path") -> DataFrame:
@@ -41,9 +43,8 @@ def skip_paths(pairs: DataFrame) -> DataFrame:
 
 def stitched(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The row numbers (per keys) of the path that the given numbers stitch to."""
-    before = F.lag("row_no").over(Window.partitionBy(*(keys or (F.lit(1),))).orderBy("row_no"))
-    pairs = rows.select(*keys, "row_no").distinct().withColumn("low", F.coalesce(before, F.col("row_no")))
-    return pairs.select(*keys, F.explode(R.skip_path_col(F.col("low"), F.col("row_no"))).alias("row_no")).distinct()
+    pairs = carried(rows.select(*keys, "row_no").distinct(), F.col("row_no"), "row_no", keys=keys, own=False, name="low")
+    return pairs.select(*keys, F.explode(R.skip_path_col(F.coalesce("low", "row_no"), F.col("row_no"))).alias("row_no")).distinct()
 
 
 def covered_numbers(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -75,7 +76,7 @@ def verify_paths(paths: DataFrame, scheme: str = "v05") -> DataFrame:
     flat = F.unhex(F.array_join(F.transform("pointers", lambda h: F.hex(h)), ""))
     rows = paths
     if scheme == "v06":
-        flat = F.when(F.size("pointers") == 1, flat).otherwise(H.merkle.root_col(F.col("pointers")))
+        flat = F.when(F.size("pointers") == 1, flat).otherwise(merkle.root_col(F.col("pointers")))
     by_path = Window.partitionBy("path_id").orderBy("row_no")
     rows = rows.withColumn("before", F.lag("row_no").over(by_path))
     sound = (C.sha256(F.concat("input_hash", flat)) == F.col("row_hash")) & (F.size("pointers") == R.skip_count_col(F.col("row_no")))
@@ -132,6 +133,32 @@ def add_row(path: DataFrame, row: DataFrame) -> DataFrame:
     return path.unionByName(row.drop("path_id").crossJoin(F.broadcast(same)).select(*path.columns)).dropDuplicates(["row_no"])
 
 
+def append_tail(path: DataFrame, tail: DataFrame) -> DataFrame:
+    """The path up to and without the tail's lowest row, then the tail; the path must know that row with the tail's hash."""
+    first = tail.orderBy("row_no").select("row_no", "row_hash").first()
+    if first is None:
+        return path
+    known = known_hashes(path).where(F.col("row_no") == first["row_no"]).select("row_hash").distinct().collect()
+    if [bytes(k["row_hash"]) for k in known] != [bytes(first["row_hash"])]:
+        raise ValueError(f"the path doesn't know row {first['row_no']} with that hash")
+    same = F.broadcast(path.select("path_id").limit(1))
+    return path.where(F.col("row_no") < first["row_no"]).unionByName(tail.drop("path_id").crossJoin(same).select(*path.columns))
+
+
+def compare_many(paths: DataFrame, path: DataFrame) -> DataFrame:
+    """compare() of one path with many of one ledger, one row: the best common row over all of them and the lowest conflict. An error
+    if one of them agrees with the path at or above the row at which another disagrees: they are of different ledgers."""
+    many = known_hashes(paths).select("path_id", "row_no", F.col("row_hash").alias("x"))
+    mine = known_hashes(path).select("row_no", F.col("row_hash").alias("y"))
+    both = many.join(mine, "row_no")
+    same = F.col("x") == F.col("y")
+    found = both.agg(F.coalesce(F.max(F.when(same, F.col("row_no"))), F.lit(0)).alias("common_no"), F.min(F.when(~same, F.col("row_no"))).alias("conflict_no"))
+    wrong = F.concat(F.lit("paths of different ledgers: row "), "common_no", F.lit(" agrees, row "), "conflict_no", F.lit(" doesn't"))
+    common = F.when(F.col("common_no") >= F.col("conflict_no"), F.raise_error(wrong).cast("long")).otherwise(F.col("common_no"))
+    found = found.withColumn("common_no", common)
+    return found.withColumn("fork_no", F.when(F.col("conflict_no") == F.col("common_no") + 1, F.col("conflict_no")))
+
+
 def authorities(paths: DataFrame) -> DataFrame:
     """path_id, hi of paths whose highest row no other path with a higher one knows."""
     tops = paths.groupBy("path_id").agg(F.max("row_no").alias("hi"))
@@ -140,42 +167,29 @@ def authorities(paths: DataFrame) -> DataFrame:
 
 
 def condensed(path: DataFrame) -> DataFrame:
-    """path_id, row_no, input_hash, row_hash, level, level_hash, funnel: of each row's pointers only the one to the row before
-    in the path (the first one in the lowest row), with its proof against all; rows with one or two pointers prove it as well."""
+    """path_id, row_no, input_hash, row_hash, level, level_hash, funnel, pointers: condensable rows keep of their pointers only the one to
+    the row before in the path (the lowest row: to row - 1), with its proof against all; the others keep all (scheme v06)."""
     before = F.lag("row_no").over(Window.partitionBy("path_id").orderBy("row_no"))
-    rows = path.withColumn("level", F.greatest(R.linked_col(F.coalesce(before, F.col("row_no") - 1), F.col("row_no")), F.lit(0)))
-
-    def run(batches):
-        import pandas as pd
-
-        for part in batches:
-            proofs = [H.merkle.funnel([bytes(h) for h in p], k) for p, k in zip(part["pointers"], part["level"])]
-            yield pd.DataFrame({"path_id": part["path_id"], "row_no": part["row_no"], "input_hash": part["input_hash"], "row_hash": part["row_hash"], "level": part["level"], "level_hash": [p[k] for p, k in zip(part["pointers"], part["level"])], "funnel": proofs})
-
-    return rows.select("path_id", "row_no", "input_hash", "row_hash", "pointers", "level").mapInPandas(run, "path_id string, row_no long, input_hash binary, row_hash binary, level int, level_hash binary, funnel array<binary>")
+    fewer = R.condensable_col(F.col("row_no"))
+    rows = path.withColumn("before", F.coalesce(before, F.col("row_no") - 1)).withColumn("level", F.when(fewer, R.linked_col(F.col("before"), F.col("row_no"))))
+    proof = merkle.funnel_col(F.col("pointers"), F.col("level"))
+    return rows.select("path_id", "row_no", "input_hash", "row_hash", "level", F.when(fewer, F.get("pointers", F.col("level"))).alias("level_hash"), F.when(fewer, proof).alias("funnel"), F.when(~fewer, F.col("pointers")).alias("pointers"))
 
 
 def verify_condensed(rows: DataFrame) -> DataFrame:
-    """path_id, row_no, ok of condensed rows (scheme v06)."""
-
-    import pandas as pd
-
-    @F.pandas_udf("boolean")
-    def ok(no: pd.Series, data: pd.Series, own: pd.Series, level: pd.Series, pointer: pd.Series, funnel: pd.Series) -> pd.Series:
-        import hashlib
-
-        out = []
-        for r, i, h, k, p, f in zip(no, data, own, level, pointer, funnel):
-            count = R.skip_count(r)
-            try:
-                above = bytes(p) if count == 1 else H.merkle.root_from(bytes(p), k, count, [bytes(x) for x in f])
-            except (IndexError, ValueError):
-                out.append(False)
-                continue
-            out.append(hashlib.sha256(bytes(i) + above).digest() == bytes(h))
-        return pd.Series(out)
-
-    return rows.select("path_id", "row_no", ok("row_no", "input_hash", "row_hash", "level", "level_hash", "funnel").alias("ok"))
+    """path_id, row_no, ok of condensed rows (scheme v06): hashes follow from inputs and pointers or proofs, and what a row says of the row
+    before is that row's hash."""
+    count = R.skip_count_col(F.col("row_no"))
+    by_path = Window.partitionBy("path_id").orderBy("row_no")
+    held = rows.withColumn("before", F.lag("row_no").over(by_path)).withColumn("hash_before", F.lag("row_hash").over(by_path))
+    link = R.linked_col(F.coalesce("before", F.col("row_no") - 1), F.col("row_no"))
+    full = F.when(F.size("pointers") == 1, F.get("pointers", F.lit(0))).otherwise(merkle.root_col(F.col("pointers")))
+    few = merkle.root_from_col(F.col("level_hash"), F.col("level"), count, F.col("funnel"))
+    above = F.when(R.condensable_col(F.col("row_no")), F.when(F.col("level") == link, few)).otherwise(F.when(F.size("pointers") == count, full))
+    said = F.coalesce("level_hash", F.get("pointers", link))
+    linked = F.col("before").isNull() | (said == F.col("hash_before"))
+    ok = (C.sha256(F.concat("input_hash", above)) == F.col("row_hash")) & (link >= 0) & linked
+    return held.select("path_id", "row_no", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def covering(row: Column, no: int) -> Column:
