@@ -31,6 +31,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's tables in the folder. Call it after the results have been written."""
+    remove(spark, folder(spark))
+
+
 def swap(spark: SparkSession, new: str, old: str) -> None:
     """Put the table at `new` in the place of `old` by renames: readers see one or the other, never half a table."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -48,3 +48,22 @@ def test_rows_wait_for_gaps_to_close(spark, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out")
     assert {(r.ledger_id, r.row_no): bytes(r.row_hash) for r in out.collect()} == want and out.count() == len(want)
     assert out.where(F.col("row_hash").isNull()).count() == 0
+
+
+def test_rows_that_come_again_late(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = rows_of("a", 30)
+
+    def run(parts, name):
+        stream = batches(spark, tmp_path / name, parts)
+        writer = sync.chain_stream(stream, recent=5).writeStream.format("parquet").option("path", f"{tmp_path}/{name}/out").option("checkpointLocation", f"{tmp_path}/{name}/mark")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{tmp_path}/{name}/out")
+
+    out = run([rows, [rows[3], rows[28]]], "same")
+    assert out.where("row_hash is null").count() == 1 and sync.settled(out).count() == 30
+    out = run([rows, [("a", 4, bytes(32))]], "forged")
+    with pytest.raises(ValueError, match="another hash"):
+        sync.settled(out)
+    with pytest.raises(Exception, match="another hash"):
+        run([rows, [("a", 29, bytes(32))]], "recent")
