@@ -3,8 +3,8 @@
 A log is a DataFrame (ledger_id, content) of whole texts or bytes, or a folder read with read_log(). Lines end at line feeds, the
 last one may lack it. Offsets count bytes. Row numbers go to the lines that are neither comments nor (if skipped) blank.
 
-Whole files are split inside one row, so they must fit in a task; logs beyond that are read with read_lines(), which
-splits files in parallel and gets offsets from running sums of byte lengths by file and split.
+Whole files are split inside one row, so they must fit in a task; logs beyond that are read with read_lines(), which splits files in
+parallel and gets offsets, line and row numbers from running sums by file and block.
 """
 
 from __future__ import annotations
@@ -53,11 +53,60 @@ def lines(logs: DataFrame, keys: tuple[str, ...] = ("ledger_id",), max_bytes: in
     return out.select(*keys, (F.col("_pos") + 1).cast("long").alias("line_no"), "offset", "size", "line")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """ledger_id, line of large files, split in parallel, with the place that orders them: _metadata's file and block start, then
-    the order within the block."""
-    text = spark.read.text(path)
-    return text.select(F.col("_metadata.file_path").alias("ledger_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("within"), F.col("value").alias("line"))
+def read_lines(spark: SparkSession, path: str, grammar: Grammar | None = None, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """ledger_id (the file), line_no, offset, size, line of large files, as lines() has them, split in parallel; with a grammar also
+    row_no, null for lines that are no rows.
+
+    A block's lines are numbered within it, and sums by block, one row each, give where it starts.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("ledger_id"), F.col("_metadata.file_size").alias("_all"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line")
+    )
+    text = text.withColumn("size", F.octet_length("line").cast("long") + 1)
+    text = text.withColumn("_row", (is_row(F.col("line"), grammar) if grammar else F.lit(False)).cast("long"))
+    order = Window.partitionBy("ledger_id", "_block").orderBy("_at")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    inside = text.withColumn("_n", F.row_number().over(order)).withColumn("_bytes", zero(F.sum("size").over(before))).withColumn("_rows", F.sum("_row").over(order))
+    blocks = text.groupBy(F.col("ledger_id").alias("_of"), F.col("_block").alias("_start")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("_row").alias("rows"))
+    earlier = Window.partitionBy("_of").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("_of", "_start", *(zero(F.sum(c).over(earlier)).alias(f"_{c}_before") for c in ("n", "bytes", "rows")))
+    placed = inside.join(starts, (F.col("ledger_id") == F.col("_of")) & (F.col("_block") == F.col("_start")))
+    offset = F.col("_bytes_before") + F.col("_bytes")
+    # the file's last line may lack its line feed
+    size = F.least(F.col("size"), F.col("_all") - offset)
+    line = F.when(F.col("size") <= max_bytes, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("a line is too long at byte "), offset)))
+    row = [F.when(F.col("_row") == 1, F.col("_rows_before") + F.col("_rows")).alias("row_no")] if grammar else []
+    return placed.select("ledger_id", (F.col("_n_before") + F.col("_n")).cast("long").alias("line_no"), offset.alias("offset"), size.alias("size"), line.alias("line"), *row)
+
+
+def row_bytes(wanted: DataFrame, step: int = 1 << 20) -> DataFrame:
+    """wanted (ledger_id: the file, row_no, offset, end_offset, as offset_index() has them) with `data`, the row's bytes, by range reads of
+    the files: ranges near each other are read together."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        held, file, start, window = None, None, 0, b""
+        for batch in batches:
+            made = []
+            for path, a, b in zip(*(batch.column(n).to_pylist() for n in ("ledger_id", "offset", "end_offset"))):
+                if path != held:
+                    if file is not None:
+                        file.close()
+                    system, inner = fs.FileSystem.from_uri(path)
+                    file, held, start, window = system.open_input_file(inner), path, 0, b""
+                if a < start or b > start + len(window):
+                    file.seek(a)
+                    start, window = a, file.read(max(step, b - a))
+                made.append(window[a - start : b - start])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, "data"])
+        if file is not None:
+            file.close()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
+    return wanted.repartitionByRange("ledger_id", "offset").sortWithinPartitions("ledger_id", "offset").mapInArrow(run, f"{kinds}, data binary")
 
 
 def is_row(line: Column, grammar: Grammar) -> Column:
@@ -88,9 +137,10 @@ def token_cells(found: DataFrame, grammar: Grammar = Grammar(), keys: tuple[str,
     return each.select(*keys, "row_no", "idx", F.lit(C.STRING).cast("tinyint").alias("type"), data.alias("data"), F.lit(None).cast("binary").alias("salt"), C.cell_hash(F.lit(C.STRING), data).alias("hash"))
 
 
-def input_hashes(found: DataFrame, grammar: Grammar = Grammar(), keys: tuple[str, ...] = ("ledger_id",), seed: bytes | None = None) -> DataFrame:
-    """keys, row_no, input_hash; a row without tokens hashes to the sentinel. With a seed all cells are salted. One projection."""
-    each = found.select(*keys, "row_no", tokens(F.col("line"), grammar).alias("_t"))
+def with_input_hash(found: DataFrame, grammar: Grammar = Grammar(), seed: bytes | None = None) -> DataFrame:
+    """found (row_no, line and more) with input_hash; a row without tokens hashes to the sentinel. With a seed all cells are salted. One
+    projection."""
+    each = found.withColumn("_t", tokens(F.col("line"), grammar))
     plain = lambda t: F.concat(C.type_byte(F.lit(C.STRING)), F.encode(t, "UTF-8"))
     if seed is None:
         hashes = F.transform("_t", lambda t: C.sha256(plain(t)))
@@ -98,8 +148,12 @@ def input_hashes(found: DataFrame, grammar: Grammar = Grammar(), keys: tuple[str
         each = each.withColumn("_salt", C.row_salt(F.lit(seed), F.col("row_no")))
         own = lambda i: C.sha256(F.concat(C.long_bytes(i), F.col("_salt"), C.long_bytes(F.bitwise_not(i.cast("long")))))
         hashes = F.transform("_t", lambda t, i: C.sha256(F.concat(own(i), plain(t))))
-    each = each.withColumn("_h", hashes)
-    return each.select(*keys, "row_no", C.row_hash_of_array(F.col("_h")).alias("input_hash"))
+    return each.withColumn("_h", hashes).withColumn("input_hash", C.row_hash_of_array(F.col("_h"))).drop("_t", "_salt", "_h")
+
+
+def input_hashes(found: DataFrame, grammar: Grammar = Grammar(), keys: tuple[str, ...] = ("ledger_id",), seed: bytes | None = None) -> DataFrame:
+    """keys, row_no, input_hash of with_input_hash()."""
+    return with_input_hash(found.select(*keys, "row_no", "line"), grammar, seed).select(*keys, "row_no", "input_hash")
 
 
 def hash_stats(found: DataFrame, grammar: Grammar = Grammar()) -> DataFrame:

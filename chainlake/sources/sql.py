@@ -30,6 +30,21 @@ def jdbc_ledger(spark: SparkSession, url: str, query: str, *, row: str, low: int
     return df.withColumnRenamed(row, "row_no")
 
 
+def save_commits(chain: DataFrame, url: str, table: str, mode: str = "append", properties: dict | None = None) -> None:
+    """Chain rows into a database table (row_idx, src_hash, row_hash; hashes as hex, as databases differ in binary types)."""
+    text = lambda c: F.lower(F.hex(c))
+    rows = chain.select(F.col("row_no").alias("row_idx"), text("input_hash").alias("src_hash"), text("row_hash").alias("row_hash"))
+    options = {"url": url, "dbtable": table, "createTableColumnTypes": "src_hash CHAR(64), row_hash CHAR(64)"} | (properties or {})
+    rows.write.format("jdbc").options(**options).mode(mode).save()
+
+
+def jdbc_commits(spark: SparkSession, url: str, table: str, ledger_id: str, *, high: int, low: int = 1, partitions: int = 16, properties: dict | None = None) -> DataFrame:
+    """A chain kept in such a table, read in parallel ranges of its row number."""
+    options = {"url": url, "dbtable": table, "partitionColumn": "row_idx", "lowerBound": low, "upperBound": high, "numPartitions": partitions} | (properties or {})
+    rows = spark.read.format("jdbc").options(**options).load()
+    return rows.select(F.lit(ledger_id).alias("ledger_id"), F.col("row_idx").alias("row_no"), F.unhex(F.trim("src_hash")).alias("input_hash"), F.unhex(F.trim("row_hash")).alias("row_hash"))
+
+
 def check_types(df: DataFrame) -> None:
     """An error for columns that can't be cells (floats, arrays, structs, maps, intervals)."""
     for f in df.schema.fields:
