@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainlake.operators import chain
 from chainlake.sources import work
 
 TABLES = {
@@ -115,3 +116,24 @@ class Registry:
         epochs = self.table("salts").where("not deleted").groupBy("chain_id").agg(F.count("*").alias("epochs"))
         out = self.chains().join(defined, "chain_id", "left").join(epochs, "chain_id", "left")
         return out.select("chain_id", "name", F.coalesce("defined", F.lit(False)).alias("defined"), F.coalesce("epochs", F.lit(0)).alias("epochs"))
+
+    def committed(self, chain_id: int) -> DataFrame:
+        """The chain's committed rows."""
+        return chain.committed(self.spark, self._rows(chain_id))
+
+    def commit(self, chain_id: int, rows: DataFrame) -> int:
+        """Append chain rows (ledger_id, row_no, input_hash, row_hash) to the chain; the number that weren't there yet."""
+        if not self.rights.commit:
+            raise PermissionError("this catalog commits nothing")
+        return chain.append(self._rows(chain_id), rows)
+
+    def rollback(self, chain_id: int, to: DataFrame) -> None:
+        """Trim the chain to sizes (ledger_id, size)."""
+        if not self.rights.rollback:
+            raise PermissionError("this catalog rolls nothing back")
+        chain.rollback(self._rows(chain_id), to)
+
+    def _rows(self, chain_id: int) -> str:
+        if not self.find(chain_id=chain_id).count():
+            raise ValueError("no such chain")
+        return f"{self.path}/{self.prefix}rows-{chain_id}"
