@@ -19,6 +19,8 @@ from chainlake.operators import joins as J
 from chainlake.operators import paths as P
 from chainlake.operators import query as Q
 from chainlake.operators import rows as O
+from chainlake.plans import morsel as M
+from chainlake.plans.ledger import Ledger
 from chainlake.plans.registry import Registry, Rights
 from chainlake.sources import codecs as K
 from chainlake.sources import logs as L
@@ -211,34 +213,55 @@ def prefix_find_limit(spark, sf):
     return O.prefix_find(hashed.select("row_no", "input_hash"), "A", start=10).select("row_no", low_hex("input_hash").alias("input_hash"))
 
 
-@query("rows_as_json", "SELECT n_nationkey::BIGINT + 1 AS row_no, '{\"row\":' || (n_nationkey + 1) || ',\"cells\":[{\"type\":\"LONG\",\"value\":\"' || n_nationkey || '\"},{\"hash\":\"' || lower(hex(" + s_string("n_name") + ")) || '\"},{\"type\":\"LONG\",\"value\":\"' || n_regionkey || '\"}]}' AS json FROM nation")
+CUSTOMER = ["c_custkey", "c_name", "c_nationkey"]
+
+
+@query("rows_as_json", "SELECT c_custkey AS row_no, '{\"row\":' || c_custkey || ',\"cells\":[{\"type\":\"LONG\",\"value\":\"' || c_custkey || '\"},{\"hash\":\"' || lower(hex(" + s_string("c_name") + ")) || '\"},{\"type\":\"LONG\",\"value\":\"' || c_nationkey || '\"}]}' AS json FROM customer")
 def rows_as_json(spark, sf):
-    nation = load(spark, sf, "nation").withColumn("row_no", (F.col("n_nationkey") + 1).cast("long"))
-    return O.as_json(O.redact(O.long_cells(nation, ["n_nationkey", "n_name", "n_regionkey"]), F.col("idx") == 1))
+    return O.as_json(O.redact(O.long_cells(load(spark, sf, "customer"), CUSTOMER, row="c_custkey"), F.col("idx") == 1))
 
 
-@query("rows_as_text", "SELECT n_nationkey::BIGINT + 1 AS row_no, n_nationkey || ', ' || n_name || ', [X]' AS line FROM nation")
+@query("rows_as_text", "SELECT c_custkey AS row_no, c_custkey || ', ' || c_name || ', [X]' AS line FROM customer")
 def rows_as_text(spark, sf):
-    nation = load(spark, sf, "nation").withColumn("row_no", (F.col("n_nationkey") + 1).cast("long"))
-    return O.as_text(O.redact(O.long_cells(nation, ["n_nationkey", "n_name", "n_regionkey"]), F.col("idx") == 2), ", ")
+    return O.as_text(O.redact(O.long_cells(load(spark, sf, "customer"), CUSTOMER, row="c_custkey"), F.col("idx") == 2), ", ")
 
 
 # Chains --------------------------------------------------------------------------------------------------------------
 
 NATION = ["n_nationkey", "n_name", "n_regionkey"]
 S_NATION_ROW = "unhex(sha256(" + " || ".join([s_long("n_nationkey"), s_string("n_name"), s_long("n_regionkey")]) + "))"
-S_CHAIN = f"""
-WITH RECURSIVE input AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS r, {S_NATION_ROW} AS i FROM nation),
+
+
+def s_merkle(hashes: str) -> str:
+    """The root of a list of at most 64 hashes: leaves after byte 0, inner nodes after byte 1, odd ones go up as they are."""
+    layer = f"list_transform({hashes}, lambda x: unhex(sha256(unhex('00') || x)))"
+    for i in range(6):
+        pair = f"CASE WHEN 2 * k{i} <= len(l{i}) THEN unhex(sha256(unhex('01') || l{i}[2 * k{i} - 1] || l{i}[2 * k{i}])) ELSE l{i}[2 * k{i} - 1] END"
+        layer = f"list_transform([{layer}], lambda l{i}: list_transform(range(1, (len(l{i}) + 1) // 2 + 1), lambda k{i}: {pair}))[1]"
+    return f"{layer}[1]"
+
+
+def s_chain(inputs: str, scheme: str = "v05") -> str:
+    """WITH clause whose `fold` has r, i, h of the chain over inputs (r, i), row by row; row 0 is the sentinel."""
+    pointers = "fold.f[1:1 + bit_count((input.r & -input.r) - 1)]"
+    flat = f"list_reduce({pointers}, lambda a, b: a || b)"
+    if scheme == "v06":
+        flat = f"CASE WHEN input.r % 2 = 1 THEN fold.f[1] ELSE {s_merkle(pointers)} END"
+    return f"""
+WITH RECURSIVE input AS MATERIALIZED ({inputs}),
 fold AS (
   SELECT 0::BIGINT AS r, list_transform(range(40), lambda k: {S_SENTINEL}) AS f, ''::BLOB AS i, {S_SENTINEL} AS h
   UNION ALL
   SELECT n.r, list_transform(range(40), lambda k: CASE WHEN n.r % (1::BIGINT << k) = 0 THEN n.h ELSE n.f[k + 1] END), n.i, n.h
-  FROM (SELECT input.r, fold.f, input.i,
-               unhex(sha256(input.i || list_reduce(fold.f[1:1 + bit_count((input.r & -input.r) - 1)], lambda a, b: a || b))) AS h
-        FROM fold JOIN input ON input.r = fold.r + 1) n)
+  FROM (SELECT input.r, fold.f, input.i, unhex(sha256(input.i || {flat})) AS h FROM fold JOIN input ON input.r = fold.r + 1) n)
 """
 
 
+S_INPUT = f"SELECT row_no AS r, {S_ORDER_ROW} AS i FROM ({S_ORDERS})"
+S_CHAIN = s_chain(S_INPUT)
+S_ROWS = "SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold WHERE r > 0"
+
+
 def nation_inputs(spark, sf):
     nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
     return O.with_input_hash(nation, NATION).select(F.lit("nation").alias("ledger_id"), "row_no", "input_hash")
@@ -248,44 +271,70 @@ def order_inputs(spark, sf):
     return O.with_input_hash(orders_ledger(spark, sf), ORDER_COLUMNS).select(F.lit("orders").alias("ledger_id"), "row_no", "input_hash")
 
 
-def order_chain(spark, sf):
-    return H.work.written(H.fold(order_inputs(spark, sf)), "orders-chain")
+def order_chain(spark, sf, scheme="v05"):
+    return H.work.written(H.fold(order_inputs(spark, sf), scheme), "orders-chain")
+
 
+def hex_rows(chain):
+    return chain.select("row_no", low_hex("input_hash").alias("input_hash"), low_hex("row_hash").alias("row_hash"))
 
-@query("chain_fold_nation", f"{S_CHAIN} SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
+
+@query("chain_fold_nation", f"{s_chain(f'SELECT row_number() OVER (ORDER BY n_nationkey) AS r, {S_NATION_ROW} AS i FROM nation')} {S_ROWS}")
 def chain_fold_nation(spark, sf):
-    return H.fold(nation_inputs(spark, sf)).select("row_no", low_hex("input_hash").alias("input_hash"), low_hex("row_hash").alias("row_hash"))
+    return hex_rows(H.fold(nation_inputs(spark, sf)))
 
 
-@query("chain_fold_orders", f"SELECT row_no, lower(hex({S_ORDER_ROW})) AS input_hash, true AS hashed FROM ({S_ORDERS})")
+@query("chain_fold_orders", f"{S_CHAIN} {S_ROWS}")
 def chain_fold_orders(spark, sf):
-    return H.fold(order_inputs(spark, sf)).select("row_no", low_hex("input_hash").alias("input_hash"), (F.octet_length("row_hash") == 32).alias("hashed"))
+    return hex_rows(H.fold(order_inputs(spark, sf)))
+
+
+@query("chain_fold_orders_v06", f"{s_chain(S_INPUT, 'v06')} {S_ROWS}")
+def chain_fold_orders_v06(spark, sf):
+    return hex_rows(H.fold(order_inputs(spark, sf), "v06"))
+
+
+@query("chain_extend_orders", f"{S_CHAIN} {S_ROWS} AND r BETWEEN 1001 AND 1300")
+def chain_extend_orders(spark, sf):
+    """The 300 rows after the first 1000, from their frontier."""
+    inputs = order_inputs(spark, sf)
+    first = H.work.written(H.fold(inputs.where("row_no <= 1000")), "orders-1000")
+    return hex_rows(H.extend(first, inputs, max_rows=300))
 
 
-@query("chain_extend_nation", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r BETWEEN 11 AND 20")
-def chain_extend_nation(spark, sf):
-    inputs = nation_inputs(spark, sf)
-    first = H.work.written(H.fold(inputs.where("row_no <= 10")), "nation-10")
-    return H.extend(first, inputs, max_rows=10).select("row_no", low_hex("row_hash").alias("row_hash"))
+# Forged and missing rows: those that have a wrong hash, or point to a row that has or is gone, fail.
+S_FORGED, S_GONE = "r % 500 = 17", "r % 700 = 300"
+S_EACH = f"(SELECT row_no AS r FROM ({S_ORDERS}))"
+S_POINTED = f"(SELECT r, r - (1::BIGINT << k) AS t FROM (SELECT r, unnest(range(bit_count((r & -r) - 1) + 1)) AS k FROM {S_EACH}))"
 
 
-@query("chain_verify_orders", f"SELECT row_no, true AS ok FROM ({S_ORDERS})")
+def s_wrong(of: str) -> str:
+    return of.replace("r %", "t %")
+
+
+@query("chain_verify_orders", f"SELECT r AS row_no, NOT ({S_FORGED}) AND NOT bool_or(t > 0 AND (({s_wrong(S_FORGED)}) OR ({s_wrong(S_GONE)}))) AS ok FROM {S_POINTED} WHERE NOT ({S_GONE}) GROUP BY r")
 def chain_verify_orders(spark, sf):
-    return H.verify(order_chain(spark, sf)).select("row_no", "ok")
+    """Row hashes of some rows are forged, other rows are missing."""
+    chain = order_chain(spark, sf).where("not row_no % 700 = 300")
+    forged = F.when(F.expr("row_no % 500 = 17"), C.sha256("row_hash")).otherwise(F.col("row_hash"))
+    return H.verify(chain.withColumn("row_hash", forged)).select("row_no", "ok")
 
 
-@query("chain_verify_orders_v06", f"SELECT row_no, true AS ok FROM ({S_ORDERS})")
+@query("chain_verify_orders_v06", f"SELECT r AS row_no, NOT ({S_FORGED}) AND NOT bool_or(t > 0 AND ({s_wrong(S_GONE)})) AS ok FROM {S_POINTED} WHERE NOT ({S_GONE}) GROUP BY r")
 def chain_verify_orders_v06(spark, sf):
-    chain = H.work.written(H.fold(order_inputs(spark, sf), "v06"), "orders-chain-v06")
-    return H.verify(chain, "v06").select("row_no", "ok")
+    """Input hashes of some rows are forged, which their own hash shows; other rows are missing."""
+    chain = order_chain(spark, sf, "v06").where("not row_no % 700 = 300")
+    forged = F.when(F.expr("row_no % 500 = 17"), C.sha256("input_hash")).otherwise(F.col("input_hash"))
+    return H.verify(chain.withColumn("input_hash", forged), "v06").select("row_no", "ok")
 
 
-@query("chains_of_conversations", "SELECT conv_id::VARCHAR AS ledger_id, count(*)::BIGINT AS n, true AS ok FROM conversations GROUP BY conv_id")
+@query("chains_of_conversations", "SELECT conv_id::VARCHAR AS ledger_id, (count(*) - CASE WHEN conv_id % 4 = 0 THEN 1 ELSE 0 END)::BIGINT AS n, conv_id % 4 <> 0 AS ok FROM conversations GROUP BY conv_id HAVING conv_id % 4 <> 0 OR count(*) > 1")
 def chains_of_conversations(spark, sf):
+    """Some conversations lack their first row, which the second points to."""
     rows = load(spark, sf, "conversations").withColumn("row_no", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
     inputs = O.with_input_hash(rows, ["role", "text"]).select(F.col("conv_id").cast("string").alias("ledger_id"), "row_no", "input_hash")
     chain = H.work.written(H.fold(inputs), "conversations-chain")
-    return H.verify(chain).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
+    return H.verify(chain.where("not (ledger_id % 4 = 0 and row_no = 1)")).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
 
 
 S_POINTERS = f"SELECT row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_ORDERS})"
@@ -296,18 +345,6 @@ def pointer_self_join(spark, sf):
     return H.pointers(orders_ledger(spark, sf).select(F.lit("orders").alias("ledger_id"), "row_no")).select("row_no", "level", "points_to")
 
 
-@query("chain_frontier_nation", f"{S_CHAIN} SELECT 25::BIGINT AS row_no, k::INTEGER AS level, (SELECT lower(hex(h)) FROM fold WHERE r = (25 >> k) << k) AS hash FROM (SELECT unnest(range(5)) AS k)")
-def chain_frontier_nation(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    return H.frontiers_at(chain).select("row_no", F.posexplode("hashes").alias("level", "h")).select("row_no", "level", low_hex("h").alias("hash"))
-
-
-@query("checkpoint_validation", "SELECT (i * 1024)::BIGINT AS row_no, true AS ok FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) // 1024 + 1)) AS i)")
-def checkpoint_validation(spark, sf):
-    chain = order_chain(spark, sf)
-    return H.check_checkpoints(H.work.written(H.checkpoints(chain, 10), "checkpoints"), chain).select("row_no", "ok")
-
-
 S_CHANGED = "o_orderkey % 1000 = 777 AND o_orderkey > 500"
 
 
@@ -326,23 +363,6 @@ def first_conflict(spark, sf):
     return H.first_conflict(order_inputs(spark, sf), changed_orders(spark, sf)).select("row_no")
 
 
-@query(
-    "sync_status",
-    f"""WITH s AS (SELECT count(*)::BIGINT AS n, min(CASE WHEN {S_CHANGED} THEN o_orderkey + 1 END)::BIGINT AS f FROM orders)
-    SELECT 'complete' AS ledger_id, n AS committed, n AS available, 'COMPLETE' AS state, NULL::BIGINT AS fork_row, n AS valid_rows FROM s
-    UNION ALL SELECT 'forked', n, n, 'FORKED', f, f - 1 FROM s
-    UNION ALL SELECT 'pending', 100, n, 'PENDING', NULL, 100 FROM s
-    UNION ALL SELECT 'trimmed', n, 100, 'TRIMMED', NULL, 100 FROM s""",
-)
-def sync_status(spark, sf):
-    own, changed = order_inputs(spark, sf), changed_orders(spark, sf)
-    named = lambda df, name: df.withColumn("ledger_id", F.lit(name))
-    few = own.where("row_no <= 100")
-    committed = named(own, "complete").unionByName(named(own, "forked")).unionByName(named(few, "pending")).unionByName(named(own, "trimmed"))
-    source = named(own, "complete").unionByName(named(changed, "forked")).unionByName(named(own, "pending")).unionByName(named(few, "trimmed"))
-    return H.sync_status(committed, source)
-
-
 @query("rollback_to_valid", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE o_orderkey + 1 < (SELECT min(o_orderkey + 1) FROM orders WHERE {S_CHANGED})")
 def rollback_to_valid(spark, sf):
     own = order_inputs(spark, sf)
@@ -350,64 +370,33 @@ def rollback_to_valid(spark, sf):
     return H.trim(own, valid).select("row_no")
 
 
-@query("sampled_conflicts", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE {S_CHANGED}")
-def sampled_conflicts(spark, sf):
-    return H.sample_conflicts(order_inputs(spark, sf), changed_orders(spark, sf), 2.0).select("row_no")
-
-
 # Paths ---------------------------------------------------------------------------------------------------------------
 
 
-@query(
-    "skip_paths_to_end",
-    """WITH RECURSIVE n AS (SELECT max(o_orderkey + 1) AS hi FROM orders),
-    p AS (SELECT o_orderkey + 1 AS low, hi AS high, hi AS row_no FROM orders, n WHERE (o_orderkey + 1) % 97 = 1
-          UNION ALL SELECT low, high, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
-    SELECT low, high, (count(*) OVER (PARTITION BY low, high) - row_number() OVER (PARTITION BY low, high ORDER BY row_no DESC))::INTEGER AS step, row_no FROM p""",
-)
-def skip_paths_to_end(spark, sf):
-    orders = orders_ledger(spark, sf).select("row_no")
-    hi = orders.agg(F.max("row_no").alias("high"))
-    return P.skip_paths(orders.where("row_no % 97 = 1").select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
-
-
-@query(
-    "skip_paths_to_end_whole",
-    """WITH RECURSIVE n AS (SELECT max(o_orderkey + 1) AS hi FROM orders),
-    p AS (SELECT o_orderkey + 1 AS low, hi AS high, hi AS row_no FROM orders, n
-          UNION ALL SELECT low, high, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
-    SELECT low, high, (count(*) OVER (PARTITION BY low, high) - row_number() OVER (PARTITION BY low, high ORDER BY row_no DESC))::INTEGER AS step, row_no FROM p""",
-)
-def skip_paths_to_end_whole(spark, sf):
-    orders = orders_ledger(spark, sf).select("row_no")
-    hi = orders.agg(F.max("row_no").alias("high"))
-    return P.skip_paths(orders.select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
+S_SUPPLIED = "SELECT DISTINCT l_suppkey AS k, l_orderkey + 1 AS row_no FROM lineitem"
 
 
-S_RESTRICTED = "SELECT DISTINCT l_suppkey AS k, l_orderkey + 1 AS row_no FROM lineitem WHERE l_quantity >= 49"
-
-
-@query("coverage_of_rows", f"SELECT k, row_no FROM ({S_RESTRICTED}) UNION SELECT k, row_no - (1::BIGINT << level) FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_RESTRICTED}))")
+@query("coverage_of_rows", f"SELECT k, row_no FROM ({S_SUPPLIED}) UNION SELECT k, row_no - (1::BIGINT << level) FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_SUPPLIED}))")
 def coverage_of_rows(spark, sf):
-    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
     return P.covered_numbers(rows, ("k",))
 
 
-@query("ref_only_rows", f"SELECT * FROM (SELECT k, row_no - (1::BIGINT << level) AS row_no FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_RESTRICTED}))) WHERE row_no > 0 EXCEPT SELECT k, row_no FROM ({S_RESTRICTED})")
+@query("ref_only_rows", f"SELECT * FROM (SELECT k, row_no - (1::BIGINT << level) AS row_no FROM (SELECT k, row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS level FROM ({S_SUPPLIED}))) WHERE row_no > 0 EXCEPT SELECT k, row_no FROM ({S_SUPPLIED})")
 def ref_only_rows(spark, sf):
-    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no")).distinct()
     return P.reference_numbers(rows, ("k",))
 
 
 @query(
     "stitched_rows",
-    f"""WITH RECURSIVE t AS ({S_RESTRICTED}),
+    f"""WITH RECURSIVE t AS ({S_SUPPLIED}),
     q AS (SELECT k, coalesce(lag(row_no) OVER (PARTITION BY k ORDER BY row_no), row_no) AS low, row_no FROM t),
     p AS (SELECT k, low, row_no FROM q UNION ALL SELECT k, low, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
     SELECT DISTINCT k, row_no FROM p""",
 )
 def stitched_rows(spark, sf):
-    rows = load(spark, sf, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no"))
+    rows = load(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") + 1).alias("row_no"))
     return P.stitched(rows, ("k",))
 
 
@@ -417,40 +406,6 @@ def link_levels(spark, sf):
     return P.links(pairs)
 
 
-@query("state_path_orders", "SELECT true AS ok, 1::BIGINT AS lo, max(o_orderkey + 1)::BIGINT AS hi FROM orders")
-def state_path_orders(spark, sf):
-    return P.verify_paths(P.state_path(order_chain(spark, sf))).select("ok", "lo", "hi")
-
-
-@query("path_compare_fork", f"{S_CHAIN} SELECT 16::BIGINT AS common_no, 17::BIGINT AS conflict_no, 17::BIGINT AS fork_no")
-def path_compare_fork(spark, sf):
-    inputs = nation_inputs(spark, sf)
-    other = inputs.withColumn("input_hash", F.when(F.col("row_no") >= 17, C.sha256("input_hash")).otherwise(F.col("input_hash")))
-    one, two = (H.work.written(H.fold(i), "fork") for i in (inputs, other))
-    return P.compare(P.path_of(one, [1, 17, 25]), P.path_of(two, [1, 17, 25]))
-
-
-@query("path_merge", "SELECT unnest([1, 2, 4, 8, 16, 18, 20, 24, 25])::BIGINT AS row_no, true AS ok")
-def path_merge(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    merged = P.merge(P.path_of(chain, [1, 18, 20]), P.path_of(chain, [16, 25]))
-    ok = P.verify_paths(P.path_of(chain, [1, 18, 20, 25])).select("ok")
-    return merged.select("row_no").crossJoin(F.broadcast(ok))
-
-
-@query("path_authorities", "SELECT * FROM (VALUES ('b', 25::BIGINT), ('c', 21::BIGINT)) v(path_id, hi)")
-def path_authorities(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    paths = P.path_of(chain, [1, 24], "a").unionByName(P.path_of(chain, [1, 25], "b")).unionByName(P.path_of(chain, [1, 21], "c"))
-    return P.authorities(paths)
-
-
-@query("condensed_path", "SELECT r::BIGINT AS row_no, true AS ok FROM (SELECT unnest([1, 2, 4, 8, 16, 24, 25]) AS r)")
-def condensed_path(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf), "v06"), "nation-chain-v06")
-    return P.verify_condensed(P.condensed(P.path_of(chain, [1, 25]))).select("row_no", "ok")
-
-
 # Joins ---------------------------------------------------------------------------------------------------------------
 
 
@@ -635,12 +590,6 @@ def log_offset_index(spark, sf):
     return L.offset_index(page_rows(spark, sf), ("page_id",))
 
 
-@query("log_chains", f"{S_LINES} SELECT page_id::VARCHAR AS ledger_id, count(*)::BIGINT AS n, true AS ok FROM rows GROUP BY page_id")
-def log_chains(spark, sf):
-    inputs = L.input_hashes(page_rows(spark, sf), GRAMMAR, ("page_id",)).select(F.col("page_id").cast("string").alias("ledger_id"), "row_no", "input_hash")
-    return H.verify(H.work.written(H.fold(inputs), "page-chains")).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
-
-
 @query("skip_counts_and_frontiers", f"SELECT row_no, (bit_count((row_no & -row_no) - 1) + 1)::INTEGER AS skips, list_transform(range(length(ltrim(bin(row_no), '0'))), lambda k: (row_no >> k) << k)::VARCHAR AS frontier FROM ({S_ORDERS})")
 def skip_counts_and_frontiers(spark, sf):
     rows = orders_ledger(spark, sf).select("row_no")
@@ -651,67 +600,11 @@ def skip_counts_and_frontiers(spark, sf):
 # Older cells, round trips and the rest --------------------------------------------------------------------------------
 
 
-def s_old(x: str, data: str, column: int, salted: bool) -> str:
-    plain = f"CASE WHEN {x} IS NULL THEN {S_SENTINEL} ELSE unhex(sha256({data})) END"
-    salt = f"unhex(sha256(unhex('{SEED.hex()}') || {S_LONG('(n_nationkey + 1)')} || unhex('{column:016x}')))"
-    return f"unhex(sha256({salt} || {plain}))" if salted else plain
-
-
-S_OLD = [("n_nationkey", S_LONG("n_nationkey::BIGINT")), ("n_name", "unhex(printf('%08x', octet_length(encode(n_name)))) || encode(n_name)"), ("n_regionkey", S_LONG("n_regionkey::BIGINT"))]
-S_OLD_ROW = lambda salted: "lower(hex(unhex(sha256(" + " || ".join(s_old(x, d, i, salted) for i, (x, d) in enumerate(S_OLD, 1)) + "))))"
-
-
-@query("older_row_hash", f"SELECT n_nationkey::BIGINT + 1 AS row_no, {S_OLD_ROW(False)} AS plain, {S_OLD_ROW(True)} AS salted FROM nation")
-def older_row_hash(spark, sf):
-    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
-    plain = OLD.with_input_hash(nation, NATION, name="plain")
-    return OLD.with_input_hash(plain, NATION, seed=SEED, name="salted").select("row_no", low_hex("plain").alias("plain"), low_hex("salted").alias("salted"))
-
-
 @query("covered_row_lookup", f"SELECT row_no FROM ({S_ORDERS}) WHERE row_no = 768 OR (row_no > 768 AND bit_count(row_no - 768) = 1 AND row_no - 768 <= (row_no & -row_no))")
 def covered_row_lookup(spark, sf):
     return orders_ledger(spark, sf).select("row_no").where(P.covering(F.col("row_no"), 768))
 
 
-@query("path_intersect", "SELECT unnest([4, 6, 7, 8])::BIGINT AS row_no")
-def path_intersect(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    return P.common_rows(P.path_of(chain, [7, 8]), P.path_of(chain, [4, 8]))
-
-
-@query("highest_common_row", "SELECT 25::BIGINT AS common_no, NULL::BIGINT AS conflict_no, NULL::BIGINT AS fork_no")
-def highest_common_row(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    return P.compare(P.path_of(chain, [1, 25]), P.path_of(chain, [17, 25]))
-
-
-@query("commit_twice", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
-def commit_twice(spark, sf):
-    path = f"{H.work.folder(spark)}/commits-{H.work.uuid.uuid4().hex}"
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    for part in (chain.where("row_no <= 12"), chain, chain):
-        H.append(path, part)
-    return spark.read.schema(H.CHAIN).parquet(path).select("row_no", low_hex("row_hash").alias("row_hash"))
-
-
-@query("incremental_sync", f"{S_CHAIN} SELECT r AS row_no, lower(hex(h)) AS row_hash FROM fold WHERE r > 0")
-def incremental_sync(spark, sf):
-    """Seven rows a step until the source and the chain are even."""
-    inputs = H.work.written(nation_inputs(spark, sf), "nation-inputs")
-    path = f"{H.work.folder(spark)}/sync-{H.work.uuid.uuid4().hex}"
-    chain = spark.createDataFrame([], H.CHAIN)
-    while H.append(path, H.extend(chain, inputs, max_rows=7)):
-        chain = spark.read.schema(H.CHAIN).parquet(path)
-    return chain.select("row_no", low_hex("row_hash").alias("row_hash"))
-
-
-@query("path_pack_round_trip", f"{S_CHAIN} SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold WHERE r IN (3, 4, 8, 16, 20, 22, 23)")
-def path_pack_round_trip(spark, sf):
-    chain = H.work.written(H.fold(nation_inputs(spark, sf)), "nation-chain")
-    rows = K.read_path_pack(K.write_path_pack(P.path_of(chain, [3, 20, 23])))
-    return spark.createDataFrame([(r, i.hex(), h.hex()) for r, i, h, _ in rows], "row_no long, input_hash string, row_hash string")
-
-
 @query("source_pack_round_trip", f"SELECT n_nationkey::BIGINT + 1 AS row_no, lower(hex({S_NATION_ROW})) AS input_hash FROM nation")
 def source_pack_round_trip(spark, sf):
     nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
@@ -720,10 +613,9 @@ def source_pack_round_trip(spark, sf):
     return spark.createDataFrame([(r.no, r.input_hash(scheme).hex()) for r in rows], "row_no long, input_hash string")
 
 
-@query("json_round_trip", "SELECT n_nationkey::BIGINT + 1 AS row_no, 1 AS idx, n_name AS value FROM nation")
+@query("json_round_trip", "SELECT c_custkey AS row_no, i::INTEGER AS idx, [c_custkey::VARCHAR, c_name, c_nationkey::VARCHAR][i + 1] AS value FROM customer, (VALUES (0), (1), (2)) v(i)")
 def json_round_trip(spark, sf):
-    nation = O.number_by_key(load(spark, sf, "nation"), "n_nationkey")
-    return K.json_rows(O.as_json(O.long_cells(nation, NATION))).where("idx = 1").select("row_no", "idx", "value")
+    return K.json_rows(O.as_json(O.long_cells(load(spark, sf, "customer"), CUSTOMER, row="c_custkey"))).select("row_no", "idx", "value")
 
 
 @query("chain_listing", f"SELECT row_no, o_custkey FROM ({S_ORDERS}) ORDER BY row_no DESC LIMIT 10 OFFSET 5")
@@ -749,20 +641,367 @@ def witness_zip(spark, sf):
     records = events.select(F.col("event_id").alias("position"), C.utc_millis(F.col("ts"), events.schema["ts"].dataType).alias("utc"), F.when(F.col("event_type") == "click", F.lit(C.SENTINEL)).otherwise(own).alias("hash"))
     return J.witness_zip(records, events.select(F.col("event_id").alias("position"), (F.col("event_id") + 1).alias("row_no"), own.alias("row_hash")))
 
+# Chains with faults, checkpoints, commits -----------------------------------------------------------------------------
+
+
+@query("chain_frontier_orders", f"{S_CHAIN} SELECT n AS row_no, k::INTEGER AS level, (SELECT lower(hex(h)) FROM fold WHERE r = (n >> k) << k) AS hash FROM (SELECT n, unnest(range(length(ltrim(bin(n), '0')))) AS k FROM (SELECT max(r) AS n FROM fold))")
+def chain_frontier_orders(spark, sf):
+    return H.frontiers_at(order_chain(spark, sf)).select("row_no", F.posexplode("hashes").alias("level", "h")).select("row_no", "level", low_hex("h").alias("hash"))
+
+
+@query("checkpoint_validation", "SELECT i * 1024 AS row_no, i % 3 <> 0 AS ok FROM (SELECT unnest(range(1, (SELECT count(*) FROM orders) // 1024 + 1)) AS i)")
+def checkpoint_validation(spark, sf):
+    """Every third checkpoint has a wrong hash."""
+    chain = order_chain(spark, sf)
+    saved = H.work.written(H.checkpoints(chain, 10), "checkpoints")
+    wrong = F.when(F.expr("row_no div 1024 % 3 = 0"), F.transform("hashes", lambda h, i: F.when(i == 0, C.sha256(h)).otherwise(h))).otherwise(F.col("hashes"))
+    return H.check_checkpoints(saved.withColumn("hashes", wrong), chain).select("row_no", "ok")
+
+
+@query("checkpoint_save", "SELECT n // 512 AS first, 0::BIGINT AS again, n // 256 - n // 512 AS more, true AS refused, n // 256 AS saved FROM (SELECT count(*) AS n FROM orders)")
+def checkpoint_save(spark, sf):
+    """Saved twice, then with others between, then with a forged one, which is refused."""
+    chain, path = order_chain(spark, sf), f"{H.work.folder(spark)}/checkpoints-{H.work.uuid.uuid4().hex}"
+    wide, narrow = (H.work.written(H.checkpoints(chain, e), "checkpoints") for e in (9, 8))
+    first, again, more = H.save_checkpoints(path, wide), H.save_checkpoints(path, wide), H.save_checkpoints(path, narrow)
+    try:
+        H.save_checkpoints(path, narrow.withColumn("hashes", F.reverse("hashes")))
+        refused = False
+    except ValueError:
+        refused = True
+    saved = spark.read.schema(H.ENDS).parquet(path)
+    return saved.agg(F.count("*").alias("saved")).select(F.lit(first).cast("long").alias("first"), F.lit(again).cast("long").alias("again"), F.lit(more).cast("long").alias("more"), F.lit(refused).alias("refused"), "saved")
+
+
+@query(
+    "sync_status",
+    f"""WITH s AS (SELECT count(*)::BIGINT AS n, min(CASE WHEN {S_CHANGED} THEN o_orderkey + 1 END)::BIGINT AS f FROM orders)
+    SELECT 'complete' AS ledger_id, n AS committed, n AS available, 'COMPLETE' AS state, NULL::BIGINT AS fork_row, n AS valid_rows FROM s
+    UNION ALL SELECT 'forked', n, n, 'FORKED', f, f - 1 FROM s
+    UNION ALL SELECT 'pending', 100, n, 'PENDING', NULL, 100 FROM s
+    UNION ALL SELECT 'trimmed', n, 100, 'TRIMMED', NULL, 100 FROM s""",
+)
+def sync_status(spark, sf):
+    own, changed = (H.work.written(i(spark, sf), "inputs") for i in (order_inputs, changed_orders))
+    named = lambda df, name: df.withColumn("ledger_id", F.lit(name))
+    few = own.where("row_no <= 100")
+    committed = named(own, "complete").unionByName(named(own, "forked")).unionByName(named(few, "pending")).unionByName(named(own, "trimmed"))
+    source = named(own, "complete").unionByName(named(changed, "forked")).unionByName(named(own, "pending")).unionByName(named(few, "trimmed"))
+    return H.sync_status(committed, source)
+
+
+S_DRAWN = "SELECT DISTINCT ('0x' || substr(sha256('sample:orders:' || j), 1, 15))::BIGINT % n + 1 AS row_no FROM (SELECT unnest(range(1, ceil(n * 0.5)::BIGINT + 1)) AS j, n FROM (SELECT count(*) AS n FROM orders))"
 
-@query("key_neighbours", "SELECT * FROM (VALUES ('customer', 'referred'), ('lineitem', 'dependent')) v(name, side)")
+
+@query("sampled_conflicts", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE {S_CHANGED} AND o_orderkey + 1 IN ({S_DRAWN})")
+def sampled_conflicts(spark, sf):
+    """Among half as many draws as there are rows."""
+    return H.sample_conflicts(order_inputs(spark, sf), changed_orders(spark, sf), 0.5).select("row_no")
+
+
+@query("commit_twice", f"{S_CHAIN} {S_ROWS}")
+def commit_twice(spark, sf):
+    path = f"{H.work.folder(spark)}/commits-{H.work.uuid.uuid4().hex}"
+    chain = order_chain(spark, sf)
+    for part in (chain.where("row_no <= 1200"), chain, chain):
+        H.append(path, part)
+    return hex_rows(H.committed(spark, path))
+
+
+@query("incremental_sync", f"{S_CHAIN} {S_ROWS}")
+def incremental_sync(spark, sf):
+    """A third of the rows a step until the source and the chain are even."""
+    inputs = H.work.written(order_inputs(spark, sf), "orders-inputs")
+    path, step = f"{H.work.folder(spark)}/sync-{H.work.uuid.uuid4().hex}", inputs.count() // 3 + 1
+    while H.append(path, H.extend(H.committed(spark, path), inputs, max_rows=step, ends=H.ends_of(spark, path))):
+        pass
+    return hex_rows(H.committed(spark, path))
+
+
+# Paths through the chain of orders ------------------------------------------------------------------------------------
+
+
+def s_stitch(name: str, targets: str) -> str:
+    """CTEs: {name} has the rows of the path through targets (SQL with a column row_no), {name}_known all that it covers, without 0."""
+    return f"""{name}_pairs AS (SELECT coalesce(lag(row_no) OVER (ORDER BY row_no), row_no) AS low, row_no FROM (SELECT DISTINCT row_no FROM ({targets}))),
+{name}_walk AS (SELECT low, row_no FROM {name}_pairs UNION ALL SELECT low, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM {name}_walk WHERE row_no > low),
+{name} AS (SELECT DISTINCT row_no FROM {name}_walk),
+{name}_known AS (SELECT row_no FROM {name} UNION SELECT row_no - (1::BIGINT << k) FROM (SELECT row_no, unnest(range(bit_count((row_no & -row_no) - 1) + 1)) AS k FROM {name}) WHERE row_no > (1::BIGINT << k))"""
+
+
+S_SIZE = "size AS (SELECT max(o_orderkey + 1) AS n FROM orders)"
+S_LINKED = "(b IS NULL OR (bit_count(row_no - b) = 1 AND row_no - b <= (row_no & -row_no)))"
+targets = lambda *t: " UNION ALL ".join(f"SELECT {x}::BIGINT AS row_no FROM size" for x in t)
+
+
+@query(
+    "skip_paths_to_end",
+    """WITH RECURSIVE n AS (SELECT max(o_orderkey + 1) AS hi FROM orders),
+    p AS (SELECT o_orderkey + 1 AS low, hi AS high, hi AS row_no FROM orders, n
+          UNION ALL SELECT low, high, row_no - least(row_no & -row_no, 1::BIGINT << (length(ltrim(bin(row_no - low), '0')) - 1)) FROM p WHERE row_no > low)
+    SELECT low, high, (count(*) OVER (PARTITION BY low, high) - row_number() OVER (PARTITION BY low, high ORDER BY row_no DESC))::INTEGER AS step, row_no FROM p""",
+)
+def skip_paths_to_end(spark, sf):
+    orders = orders_ledger(spark, sf).select("row_no")
+    hi = orders.agg(F.max("row_no").alias("high"))
+    return P.skip_paths(orders.select(F.col("row_no").alias("low")).crossJoin(F.broadcast(hi)))
+
+
+def size_of(chain) -> int:
+    return chain.agg(F.max("row_no")).first()[0] or 0
+
+
+@query("state_path_orders", f"WITH RECURSIVE {S_SIZE}, {s_stitch('p', targets('1', 'n'))} SELECT v.id AS path_id, v.ok, count(*)::BIGINT AS rows, 1::BIGINT AS lo, max(row_no) AS hi FROM p, (VALUES ('whole', true), ('forged', false), ('gap', false)) v(id, ok) WHERE id <> 'gap' OR row_no <> 4 GROUP BY ALL")
+def state_path_orders(spark, sf):
+    """The path from first to last row as it is, with a forged input, and without row 4."""
+    whole = H.work.written(P.state_path(order_chain(spark, sf), "whole"), "state-path")
+    forged = whole.withColumn("input_hash", F.when(F.col("row_no") == 1024, C.sha256("input_hash")).otherwise(F.col("input_hash"))).withColumn("path_id", F.lit("forged"))
+    gap = whole.where("row_no <> 4").withColumn("path_id", F.lit("gap"))
+    return P.verify_paths(whole.unionByName(forged).unionByName(gap)).select("path_id", "ok", "rows", "lo", "hi")
+
+
+FORK = 1000
+
+
+def forked_chain(spark, sf):
+    """The chain of orders whose inputs differ from row FORK on."""
+    inputs = order_inputs(spark, sf)
+    other = F.when(F.col("row_no") >= FORK, C.sha256("input_hash")).otherwise(F.col("input_hash"))
+    return H.work.written(H.fold(inputs.withColumn("input_hash", other)), "forked")
+
+
+S_COMPARED = f"common_no, conflict_no, CASE WHEN conflict_no = common_no + 1 THEN conflict_no END AS fork_no FROM (SELECT coalesce(max(row_no) FILTER (row_no < {FORK}), 0) AS common_no, min(row_no) FILTER (row_no >= {FORK}) AS conflict_no"
+
+
+@query(
+    "path_compare_fork",
+    f"WITH RECURSIVE {S_SIZE}, {s_stitch('p', targets('1', str(FORK), 'n'))}, {s_stitch('q', targets('1', 'n'))} SELECT 'near' AS id, {S_COMPARED} FROM p_known) UNION ALL SELECT 'far', {S_COMPARED} FROM q_known)",
+)
+def path_compare_fork(spark, sf):
+    """Paths through the fork, and paths that pass it by."""
+    one, two = order_chain(spark, sf), forked_chain(spark, sf)
+    n = size_of(one)
+    near = P.compare(P.path_of(one, [1, FORK, n]), P.path_of(two, [1, FORK, n])).withColumn("id", F.lit("near"))
+    return near.unionByName(P.compare(P.path_of(one, [1, n]), P.path_of(two, [1, n])).withColumn("id", F.lit("far")))
+
+
+@query(
+    "multi_path_compare",
+    f"""WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('1', '900'))}, {s_stitch('b', targets('1', '1100'))}, {s_stitch('p', targets('1', str(FORK), 'n'))},
+    met AS (SELECT row_no FROM p_known WHERE row_no IN (SELECT row_no FROM a_known UNION SELECT row_no FROM b_known))
+    SELECT {S_COMPARED} FROM met)""",
+)
+def multi_path_compare(spark, sf):
+    """Two paths of the chain against one of the forked chain."""
+    one = order_chain(spark, sf)
+    many = P.path_of(one, [1, 900], "a").unionByName(P.path_of(one, [1, 1100], "b"))
+    return P.compare_many(many, P.path_of(forked_chain(spark, sf), [1, FORK, size_of(one)]))
+
+
+@query(
+    "path_merge",
+    f"""WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('1', '18', '20'))}, {s_stitch('b', targets('16', 'n'))}, m AS (SELECT row_no FROM a UNION SELECT row_no FROM b)
+    SELECT row_no, (SELECT bool_and{S_LINKED} FROM (SELECT row_no, lag(row_no) OVER (ORDER BY row_no) AS b FROM m)) AS ok FROM m""",
+)
+def path_merge(spark, sf):
+    chain = order_chain(spark, sf)
+    merged = H.work.written(P.merge(P.path_of(chain, [1, 18, 20]), P.path_of(chain, [16, size_of(chain)])), "merged")
+    return merged.select("row_no").crossJoin(F.broadcast(P.verify_paths(merged).select("ok")))
+
+
+@query("path_append_tail", f"WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('1', '1025'))}, {s_stitch('b', targets('1024', 'n'))} SELECT row_no FROM a WHERE row_no < 1024 UNION SELECT row_no FROM b")
+def path_append_tail(spark, sf):
+    chain = order_chain(spark, sf)
+    joined = H.work.written(P.append_tail(P.path_of(chain, [1, 1025]), P.path_of(chain, [1024, size_of(chain)])), "joined")
+    return joined.select("row_no").crossJoin(F.broadcast(P.verify_paths(joined).where("ok").select("path_id"))).select("row_no")
+
+
+@query(
+    "path_authorities",
+    f"""WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('1', 'n - 1'))}, {s_stitch('b', targets('1', 'n'))}, {s_stitch('c', targets('1', 'n - 5'))},
+    known AS (SELECT 'a' AS id, row_no FROM a_known UNION ALL SELECT 'b', row_no FROM b_known UNION ALL SELECT 'c', row_no FROM c_known),
+    tops AS (SELECT id, max(row_no) AS hi FROM known GROUP BY id)
+    SELECT id AS path_id, hi FROM tops t WHERE NOT EXISTS (SELECT 1 FROM known k JOIN tops o ON o.id = k.id WHERE k.row_no = t.hi AND o.hi > t.hi)""",
+)
+def path_authorities(spark, sf):
+    chain = order_chain(spark, sf)
+    n = size_of(chain)
+    return P.authorities(P.path_of(chain, [1, n - 1], "a").unionByName(P.path_of(chain, [1, n], "b")).unionByName(P.path_of(chain, [1, n - 5], "c")))
+
+
+@query("path_intersect", f"WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('7', '1200'))}, {s_stitch('b', targets('4', 'n'))} SELECT row_no FROM a_known INTERSECT SELECT row_no FROM b_known")
+def path_intersect(spark, sf):
+    chain = order_chain(spark, sf)
+    return P.common_rows(P.path_of(chain, [7, 1200]), P.path_of(chain, [4, size_of(chain)]))
+
+
+@query("highest_common_row", f"WITH RECURSIVE {S_SIZE}, {s_stitch('a', targets('1', '1000'))}, {s_stitch('b', targets('17', 'n'))} SELECT coalesce(max(row_no), 0) AS common_no, NULL::BIGINT AS conflict_no, NULL::BIGINT AS fork_no FROM (SELECT row_no FROM a_known INTERSECT SELECT row_no FROM b_known)")
+def highest_common_row(spark, sf):
+    chain = order_chain(spark, sf)
+    return P.compare(P.path_of(chain, [1, 1000]), P.path_of(chain, [17, size_of(chain)]))
+
+
+S_SKIPS = "bit_count((row_no & -row_no) - 1) + 1"
+#: Layers of the tree over a row's pointers in which the node above the pointer to row b has a sibling.
+S_FUNNEL = f"list_sum(list_transform(range(6), lambda k: CASE WHEN ceil(({S_SKIPS}) / (1 << k)) > 1 AND xor((bit_count(row_no - b - 1) >> k)::BIGINT, 1) < ceil(({S_SKIPS}) / (1 << k)) THEN 1 ELSE 0 END))"
+
+
+@query(
+    "condensed_path",
+    f"""WITH RECURSIVE {S_SIZE}, {s_stitch('p', targets('1', '1000', 'n'))}
+    SELECT row_no, few, CASE WHEN few THEN {S_FUNNEL}::INTEGER END AS proof, row_no <> 512 AND coalesce(b, 0) <> 512 AS ok
+    FROM (SELECT row_no, coalesce(lag(row_no) OVER (ORDER BY row_no), row_no - 1) AS b, ({S_SKIPS}) > 3 AND row_no <> 8 AS few FROM p)""",
+)
+def condensed_path(spark, sf):
+    """Row 512 has a forged hash, which it shows itself and so does the row after it."""
+    rows = H.work.written(P.condensed(P.path_of(order_chain(spark, sf, "v06"), [1, 1000, orders_ledger(spark, sf).count()])), "condensed")
+    forged = rows.withColumn("row_hash", F.when(F.col("row_no") == 512, C.sha256("row_hash")).otherwise(F.col("row_hash")))
+    shape = rows.select("row_no", F.col("funnel").isNotNull().alias("few"), F.when(F.col("funnel").isNotNull(), F.size("funnel")).alias("proof"))
+    return shape.join(P.verify_condensed(forged).select("row_no", "ok"), "row_no")
+
+
+def packed_rows(spark, rows):
+    return spark.createDataFrame([(r, i.hex(), h.hex()) for r, i, h, _ in rows], "row_no long, input_hash string, row_hash string")
+
+
+S_PACKED = "SELECT r AS row_no, lower(hex(i)) AS input_hash, lower(hex(h)) AS row_hash FROM fold JOIN p ON r = p.row_no"
+
+
+@query("path_pack_round_trip", f"{S_CHAIN}, {S_SIZE}, {s_stitch('p', targets('3', '1000', 'n'))} {S_PACKED}")
+def path_pack_round_trip(spark, sf):
+    """Through JSON and back, too."""
+    chain = order_chain(spark, sf)
+    pack = K.write_path_pack(P.path_of(chain, [3, 1000, size_of(chain)]))
+    return packed_rows(spark, K.read_path_pack(K.path_pack_of_json(K.path_pack_json(pack))))
+
+
+@query("condensed_pack_round_trip", f"{s_chain(S_INPUT, 'v06')}, {S_SIZE}, {s_stitch('p', targets('16', '1000', 'n'))} {S_PACKED}")
+def condensed_pack_round_trip(spark, sf):
+    chain = order_chain(spark, sf, "v06")
+    return packed_rows(spark, K.read_path_pack(K.write_path_pack(P.path_of(chain, [16, 1000, size_of(chain)]), condensed=True), "v06"))
+
+
+# Ledgers, morsels, catalogs -------------------------------------------------------------------------------------------
+
+
+def order_ledger(spark, sf, source=None):
+    path = f"{H.work.folder(spark)}/ledger-{H.work.uuid.uuid4().hex}"
+    return Ledger(spark, path, source or (lambda: orders_ledger(spark, sf)), ORDER_COLUMNS, "orders")
+
+
+def changed_source(spark, sf):
+    return lambda: orders_ledger(spark, sf).withColumn("o_custkey", F.when(F.expr(S_CHANGED), F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+
+
+@query(
+    "ledger_status",
+    f"""WITH s AS (SELECT count(*)::BIGINT AS n, min(CASE WHEN {S_CHANGED} THEN o_orderkey + 1 END)::BIGINT AS f FROM orders)
+    SELECT 1 AS step, 1000::BIGINT AS committed, n AS available, 'PENDING' AS state, NULL::BIGINT AS fork_row, 1000::BIGINT AS valid_rows, 768::BIGINT AS witnessed FROM s
+    UNION ALL SELECT 2, n, n, 'FORKED', f, f - 1, 768 FROM s UNION ALL SELECT 3, f - 1, n, 'PENDING', NULL, f - 1, 768 FROM s""",
+)
+def ledger_status(spark, sf):
+    """Committed in part and witnessed; then whole, while the source changes; then rolled back to what is valid."""
+    ledger = order_ledger(spark, sf)
+    ledger.update(1000)
+    ledger.witness(ledger.to_witness(8, include_last=False).select(F.lit("t").alias("chain_id"), "row_no", (F.col("row_no") * 10).alias("utc"), "row_hash"))
+    steps = [H.work.written(ledger.status(), "status")]
+    ledger.update()
+    ledger.source = changed_source(spark, sf)
+    steps.append(H.work.written(ledger.status(), "status"))
+    ledger.rollback()
+    steps.append(H.work.written(ledger.status(), "status"))
+    named = [s.select(F.lit(i).alias("step"), "committed", "available", "state", "fork_row", "valid_rows", "witnessed") for i, s in enumerate(steps, 1)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("ledger_validate", f"SELECT o_orderkey + 1 AS row_no FROM orders WHERE {S_CHANGED}")
+def ledger_validate(spark, sf):
+    ledger = order_ledger(spark, sf)
+    ledger.update()
+    ledger.source = changed_source(spark, sf)
+    return ledger.validate()
+
+
+MORSEL = [5, 77, 1000]
+
+
+def order_morsel(spark, sf):
+    ledger = order_ledger(spark, sf)
+    ledger.update()
+    return ledger.morsel(MORSEL, redact=[3], note="three orders")
+
+
+@query("morsel_verify", f"WITH RECURSIVE {S_SIZE} SELECT 'path' AS what, 'state' AS item, true AS ok UNION ALL SELECT 'row', i::VARCHAR, i <> 77 FROM (VALUES (5), (77), (1000)) v(i)")
+def morsel_verify(spark, sf):
+    """A cell of row 77 is forged."""
+    held = order_morsel(spark, sf)
+    forged = F.when((F.col("row_no") == 77) & (F.col("idx") == 2), C.sha256("hash")).otherwise(F.col("hash"))
+    return M.verify(held | {"cells": held["cells"].withColumn("hash", forged)})
+
+
+@query(
+    "morsel_summary",
+    f"""WITH RECURSIVE {S_SIZE}, {s_stitch('p', targets('1', *map(str, MORSEL), 'n'))}
+    SELECT 1::BIGINT AS paths, count(*)::BIGINT AS rows, min(row_no) AS lo, max(row_no) AS hi, (SELECT count(*) FROM p_known)::BIGINT AS known, 3::BIGINT AS entries, 3::BIGINT AS redacted,
+           0::BIGINT AS witnesses, NULL::BIGINT AS first_utc, NULL::BIGINT AS last_utc, 0::BIGINT AS refs FROM p""",
+)
+def morsel_summary(spark, sf):
+    return M.summary(order_morsel(spark, sf))
+
+
+KEYS = (("orders", "customer"), ("lineitem", "orders"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region"))
+
+
+@query("key_neighbours", f"WITH k(f, t) AS (VALUES {', '.join(map(str, KEYS))}) SELECT t AS name, 'referred' AS side FROM k WHERE f = 'orders' UNION SELECT f, 'dependent' FROM k WHERE t = 'orders'")
 def key_neighbours(spark, sf):
-    keys = [("orders", "customer"), ("lineitem", "orders"), ("customer", "nation"), ("supplier", "nation"), ("nation", "region")]
-    return S.neighbours(spark.createDataFrame(keys, "from_table string, to_table string"), "orders")
+    return S.neighbours(spark.createDataFrame(list(KEYS), "from_table string, to_table string"), "orders")
 
 
-@query("chain_registry", "SELECT 2::BIGINT AS chain_id, 'second' AS name, false AS defined, 2::BIGINT AS epochs")
+@query(
+    "chain_registry",
+    """WITH c AS (SELECT r_regionkey + 1 AS chain_id, r_name AS name, r_regionkey % 3 = 1 AS deleted FROM region)
+    SELECT chain_id::BIGINT AS chain_id, CASE WHEN chain_id = 1 THEN 'first' ELSE name END AS name, chain_id % 2 = 1 AS defined, CASE WHEN chain_id % 2 = 1 THEN 0 ELSE 2 END::BIGINT AS epochs FROM c WHERE NOT deleted""",
+)
 def chain_registry(spark, sf):
+    """A chain for each region; some are defined, others have salt epochs, some are deleted."""
     registry = Registry(spark, f"{H.work.folder(spark)}/registry-{H.work.uuid.uuid4().hex}", Rights(delete=True))
-    first, second = registry.create("first"), registry.create("other", uri="u:2")
-    registry.define(first, "SELECT max(k) FROM t", "SELECT * FROM t WHERE k = ?")
-    registry.add_epoch(second, 1, SEED)
-    registry.add_epoch(second, 500, SEED2)
-    registry.update(second, name="second")
-    registry.delete(first)
+    for r in load(spark, sf, "region").orderBy("r_regionkey").collect():  # a catalog has few chains
+        chain = registry.create(r["r_name"], uri=f"u:{r['r_regionkey']}")
+        if chain % 2:
+            registry.define(chain, "SELECT max(k) FROM t", "SELECT * FROM t WHERE k = ?")
+        else:
+            registry.add_epoch(chain, 1, SEED)
+            registry.add_epoch(chain, 500, SEED2)
+        if r["r_regionkey"] % 3 == 1:
+            registry.delete(chain)
+    registry.update(1, name="first")
     return registry.states()
+
+
+@query("log_chains", f"{S_LINES} SELECT page_id::VARCHAR AS ledger_id, count(*)::BIGINT AS n, page_id % 5 <> 0 OR count(*) < 3 AS ok FROM rows GROUP BY page_id")
+def log_chains(spark, sf):
+    """Of some pages, the hash of row 3 is forged."""
+    inputs = L.input_hashes(page_rows(spark, sf), GRAMMAR, ("page_id",)).select(F.col("page_id").cast("string").alias("ledger_id"), "row_no", "input_hash")
+    chain = H.work.written(H.fold(inputs), "page-chains")
+    forged = F.when(F.expr("ledger_id % 5 = 0 and row_no = 3"), C.sha256("row_hash")).otherwise(F.col("row_hash"))
+    return H.verify(chain.withColumn("row_hash", forged)).groupBy("ledger_id").agg(F.count("*").alias("n"), F.min("ok").alias("ok"))
+
+
+OLD_COLUMNS = ["c_custkey", "c_name", "c_nationkey"]
+
+
+def s_old(x: str, data: str, column: int, salted: bool) -> str:
+    plain = f"CASE WHEN {x} IS NULL THEN {S_SENTINEL} ELSE unhex(sha256({data})) END"
+    salt = f"unhex(sha256(unhex('{SEED.hex()}') || {S_LONG('c_custkey')} || unhex('{column:016x}')))"
+    return f"unhex(sha256({salt} || {plain}))" if salted else plain
+
+
+S_OLD = [("c_custkey", S_LONG("c_custkey::BIGINT")), ("c_name", "unhex(printf('%08x', octet_length(encode(c_name)))) || encode(c_name)"), ("c_nationkey", S_LONG("c_nationkey::BIGINT"))]
+S_OLD_ROW = lambda salted: "lower(hex(unhex(sha256(" + " || ".join(s_old(x, d, i, salted) for i, (x, d) in enumerate(S_OLD, 1)) + "))))"
+
+
+@query("older_row_hash", f"SELECT c_custkey AS row_no, {S_OLD_ROW(False)} AS plain, {S_OLD_ROW(True)} AS salted FROM customer")
+def older_row_hash(spark, sf):
+    customer = load(spark, sf, "customer").withColumn("row_no", F.col("c_custkey").cast("long"))
+    plain = OLD.with_input_hash(customer, OLD_COLUMNS, name="plain")
+    return OLD.with_input_hash(plain, OLD_COLUMNS, seed=SEED, name="salted").select("row_no", low_hex("plain").alias("plain"), low_hex("salted").alias("salted"))
