@@ -245,6 +245,43 @@ def _num_func(spec: dict, known: dict):
     return walk(spec)
 
 
+def query_json(query: Query) -> str:
+    """The query as the JSON that parse_query() reads: a template with its parameters and its tree."""
+    inputs = {p.name: {"type": "number"} | ({} if p.default is None else {"default": p.default}) for p in query.params}
+    return json.dumps({"objRefs": {"inputs": inputs}, "query": {"predTree": _tree_spec(query.where)}})
+
+
+def _tree_spec(node) -> dict:
+    if isinstance(node, Branch):
+        return {"op": node.op, "sub": [_tree_spec(p) for p in node.parts]}
+    sides = {}
+    for name, side in (("left", node.left), ("right", node.right)):
+        if isinstance(side, RowFunc):
+            sides[f"{name}Func"] = _row_func_spec(side)
+        else:
+            sides[f"{name}Num"] = _value_spec(side)
+    return {"rowPredicate": sides | {"op": node.op}}
+
+
+def _value_spec(x):
+    return {"arg": x.name} if isinstance(x, Param) else x
+
+
+def _row_func_spec(f: RowFunc) -> dict:
+    # arguments are named by their place among the columns, so a column is listed as often as it is used
+    used: list[int] = []
+
+    def walk(x):
+        if isinstance(x, Slot):
+            used.append(f.columns[x.index])
+            return {"val": "arg"}
+        return {"op": x.op, "sub": [walk(p) for p in x.parts]} if isinstance(x, Apply) else {"val": _value_spec(x)}
+
+    func = walk(f.expr)
+    spec = {"funcRowCols": [{"idx": i, "rcn": c} for i, c in enumerate(used)]}
+    return spec if "val" in func else spec | {"func": func}
+
+
 # Sums and report tables ----------------------------------------------------------------------------------------------
 
 
@@ -263,9 +300,9 @@ def total(df: DataFrame, cells: list[str], what: RowFunc | int, *, result: objec
 
 
 def formatted(kind: str, value: Column, *, pattern: str | None = None, prefix: str = "", postfix: str = "") -> Column:
-    """Text of a cell: numbers by decimals ("#,##0.00" counts its zeros after the point), dates (UTC milliseconds or times) by pattern."""
+    """Text of a cell: numbers by a decimal pattern ("#,##0.00", "0.###", "00%"), dates (UTC milliseconds or times) by a date pattern."""
     if kind == "number":
-        text = F.format_number(value, len((pattern or "0").partition(".")[2])) if pattern else value.cast("string")
+        text = F.call_function("format_number", value, F.lit(pattern)) if pattern else value.cast("string")
     elif kind == "date":
         text = F.date_format(F.timestamp_millis(value), pattern or "yyyy-MM-dd")
     else:

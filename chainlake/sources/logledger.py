@@ -64,7 +64,7 @@ def replay(rows: DataFrame, observers: dict[str, Column], max_rows: int | None =
 
 
 def rules_of(grammar: L.Grammar, scheme: str) -> str:
-    return json.dumps({"comment": grammar.comment, "skip_blank": grammar.skip_blank, "delimiters": grammar.delimiters, "scheme": scheme}, sort_keys=True)
+    return json.dumps({"comment": grammar.comment, "skip_blank": grammar.skip_blank, "delimiters": grammar.delimiters, "comment_pattern": grammar.comment_pattern, "scheme": scheme}, sort_keys=True)
 
 
 def seal(chain: DataFrame, grammar: L.Grammar = L.Grammar(), scheme: str = "v05") -> DataFrame:
@@ -79,7 +79,7 @@ def check_seal(spark: SparkSession, path: str, seals: DataFrame, seed: bytes | N
     rules = [json.loads(r["rules"]) for r in seals.select("rules").distinct().limit(2).collect()]
     if len(rules) != 1:
         raise ValueError("check seals of one set of rules at a time")
-    grammar = L.Grammar(rules[0]["comment"], rules[0]["skip_blank"], rules[0]["delimiters"])
+    grammar = L.Grammar(*(rules[0][k] for k in ("comment", "skip_blank", "delimiters", "comment_pattern")))
     rows = parsed(spark, path, grammar, seed)
     chain = H.fold(rows.select("ledger_id", "row_no", "input_hash"), rules[0]["scheme"])
     known = seals.select("ledger_id", F.col("row_no").alias("sealed"), F.col("row_hash").alias("sealed_hash"))

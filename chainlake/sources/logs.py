@@ -24,12 +24,14 @@ MAX_LINE_BYTES = 1 << 20
 
 @dataclass(frozen=True)
 class Grammar:
-    """comment: lines that start with it are no rows. skip_blank: neither are blank lines. delimiters: of tokens; others than
-    the default replace it, so a line feed may then stay in the last token."""
+    """comment: lines that start with it are no rows, nor are those that comment_pattern (a regular expression) finds something in.
+    skip_blank: neither are blank lines. delimiters: of tokens; others than the default replace it, so a line feed may then
+    stay in the last token."""
 
     comment: str | None = None
     skip_blank: bool = True
     delimiters: str = DELIMITERS
+    comment_pattern: str | None = None
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -113,6 +115,8 @@ def is_row(line: Column, grammar: Grammar) -> Column:
     test = F.lit(True)
     if grammar.comment:
         test = ~line.startswith(grammar.comment)
+    if grammar.comment_pattern:
+        test = test & ~line.rlike(grammar.comment_pattern)
     return test & ~line.rlike(BLANK) if grammar.skip_blank else test
 
 

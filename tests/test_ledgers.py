@@ -197,7 +197,12 @@ def test_queries(spark):
     bound = Q.bind(Q.Apply("-", (Q.Slot(0), Q.Apply("*", (Q.Slot(1), Q.Slot(2))))), {1: 2})
     assert Q.slots(bound) == 2 and ids(Q.Query(Q.Compare(Q.RowFunc((2, 1), bound), "<", 0))) == [1]
     spec = {"objRefs": {"inputs": {"p": {"type": "number", "default": 7}}}, "query": {"predTree": {"rowPredicate": {"leftFunc": {"funcRowCols": [{"idx": 0, "rcn": 1}], "func": {"args": [{"idx": 1, "val": 1}], "func": {"op": "*", "sub": [{"val": "arg"}, {"val": "arg"}]}}}, "op": "=", "rightNum": {"arg": "p"}}}}}
-    assert ids(Q.parse_query(json.dumps(spec))) == [1]
+    assert ids(Q.parse_query(json.dumps(spec))) == [1] and ids(Q.parse_query(Q.query_json(Q.parse_query(json.dumps(spec))))) == [1]
+    tree = Q.Query(Q.Branch("OR", (Q.Compare(Q.RowFunc((2, 1), bound), "<", Q.Param("hi", 0)), Q.Branch("AND", (Q.Compare(3, "=", Q.RowFunc((0,))), Q.Compare(Q.RowFunc((1,)), "<", 0))))))
+    again = Q.parse_query(Q.query_json(tree))
+    assert again.params == tree.params and ids(again) == ids(tree) == [1, 3]
+    shown = spark.range(1).select(Q.formatted("number", F.lit(1234.5), pattern="#,##0.00"), Q.formatted("number", F.lit(0.25), pattern="0.###"), Q.formatted("date", F.lit(0), pattern="yyyy-MM-dd", prefix="<", postfix=">")).first()
+    assert tuple(shown) == ("1,234.50", "0.25", "<1970-01-01>")
     assert Q.total(df, cells, 2).first().total == 6 and Q.total(df, cells, 2, truncate=False).first().total == 6.5
     assert Q.total(df, cells, 3).first().total is None and Q.total(df.where("d is null"), cells, 2).first().total is None
 
@@ -214,6 +219,7 @@ def test_logs(spark, tmp_path):
     texts = spark.createDataFrame([("a", LOG)], "ledger_id string, content string")
     count = lambda **g: logs.rows(logs.lines(texts), logs.Grammar(**g)).count()
     assert (count(skip_blank=False), count(), count(comment="#"), count(comment="# ")) == (8, 6, 3, 4)
+    assert count(comment_pattern="^#|line") == 1
     rows = logs.rows(logs.lines(texts), logs.Grammar(comment="#"))
     tokens = logs.token_cells(rows).orderBy("row_no", "idx").collect()
     assert [(r.row_no, bytes(r.data).decode()) for r in tokens] == [(1, "first"), (1, "line"), (1, "here"), (2, "second"), (2, "line"), (3, "third")]
