@@ -1,20 +1,24 @@
-"""Operator 3: dedup of repeated runs by winnowing (DataFrame functions only).
+"""Operator 3: dedup of repeated runs by winnowing.
 
 A run is RUN (50) words or more that stand in the same order at an earlier place (by doc_id, then word): of an earlier
 document or of the same one. Runs are aligned, word for word, with one earlier place; white space and line breaks
 between the words don't count. Every word in a run is deleted, the first occurrence stays.
 
-Method: winnowing, over GRAM-word hashes instead of line hashes, as most repeated passages begin or end inside a line.
+Method: winnowing, over hashes of GRAM words instead of whole lines, as most repeated passages begin or end inside a line.
 Each window of RUN words picks the least of the hashes in it as its fingerprint, so equal windows have equal ones. Windows
 in sequence with one fingerprint are one segment, which its first and last window identify. Segments are joined with their
 earliest equal: that extends a match over all of its inner segments at once. Where a match begins or ends, segments of one
 fingerprint differ (or one repeats itself), and there, from the anchor, it is extended window by window in both directions.
 
+Words are hashed by numpy in Arrow batches, all else is done by DataFrame functions: with lambdas over arrays in their
+stead, the operator took more than its limit of time (figures in the README).
+
 Scale: the texts are read once for the segments, one for some 18 words, with 64-bit hashes of the fingerprint and of the
 content, and nothing else of the texts is shuffled for them. Earlier places come from grouped minima with partial sums, so a
 passage in a third of all documents costs one row a task; joins on a hash have one row a key on one side, so Spark splits
 skewed keys; no pair of documents is ever made. Only documents with a segment at a match's end are read again. Texts are
-joined with the runs to delete at the end, by a broadcast if these are few, else by one shuffle.
+joined with the runs to delete at the end, by a broadcast if these are few; else the texts concerned are shuffled, told from
+the others by their hashes up to KEYS documents.
 
 What stays between kept words: the white space before a deleted run if it has a line break, else that after it.
 
@@ -26,37 +30,107 @@ result; all columns are carried along as one struct, whatever their names; texts
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import BROADCAST_ROWS, SPACE, WORD, cut, row_of, table, word_count
+from chainlake.llm.shared import BROADCAST_ROWS, WORD, cut, row_of, table
 
 RUN = 50
 GRAM = 16
-
-
-def _pairwise(values: str, step: int, fold) -> Column:
-    """fold(x[i], x[i + step]) for all i that have both."""
-    n = F.greatest(F.size(values) - step, F.lit(0))
-    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(step + 1), n), fold)
-
-
-def _windows(texts: DataFrame, run: int, gram: int) -> DataFrame:
-    """texts with grams (hashes of `gram` words from each place) and windows (hashes of `run` words) instead of the text."""
-    words = F.array_remove(F.split("text", SPACE, -1), "")
-    long = texts.where(F.length("text") >= 2 * run - 1)  # fewer characters don't hold as many words
-    out = long.withColumn("grams", F.transform(words, lambda w: F.xxhash64(w))).drop("text")
-    size = 1
-    while size < gram:
-        step = min(size, gram - size)
-        out = out.withColumn("grams", _pairwise("grams", step, lambda a, b: F.xxhash64(a, b)))
-        size += step
-    out, size = out.withColumn("windows", F.col("grams")), gram
-    while size < run:
-        step = min(size, run - size)
-        out = out.withColumn("windows", _pairwise("windows", step, lambda a, b: F.xxhash64(a, b)))
-        size += step
-    return out
+#: Documents up to which their hashes (8 bytes each) are broadcast, so that only the texts concerned are shuffled.
+KEYS = 1_000_000
+#: Bytes of a text that are hashed at a time.
+PART = 1 << 20
+
+
+class Hashes:
+    """Rolling 64-bit hashes of words, and over them: sums of values by powers of an odd base, mixed."""
+
+    def __init__(self, run: int, gram: int):
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        self.run, self.gram = run, gram
+        self.base = 0x9E3779B97F4A7C15
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.values = np.array([xxh64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+        self.blank = np.zeros(256, bool)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+
+    def _powers(self, n: int):
+        import numpy as np
+
+        if len(self.powers) <= n:
+            both = (np.full(max(2 * n, 1 << 14), b, np.uint64) for b in (self.base, pow(self.base, -1, 1 << 64)))
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), x])) for x in both)
+        return self.powers, self.inverses
+
+    def of(self, text: bytes):
+        """The words' hashes."""
+        import numpy as np
+
+        out = []
+        while text:
+            part = text
+            if len(text) > PART:  # in parts that end after a word, if there is one
+                cut = max(text.rfind(bytes([b]), 0, PART) for b in np.flatnonzero(self.blank).tolist())
+                part = text[: cut + 1] if cut >= 0 else text
+            text = text[len(part) :]
+            data = np.frombuffer(part, np.uint8)
+            powers, inverses = self._powers(len(data))
+            edges = np.flatnonzero(np.diff(self.blank[data], prepend=True, append=True))
+            upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[data] * powers[: len(data)])])
+            out.append(_mixed((upto[edges[1::2]] - upto[edges[::2]]) * inverses[edges[::2]]))
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def rolling(self, hashes, size: int):
+        """Hashes of `size` words from each place that has as many."""
+        import numpy as np
+
+        n = len(hashes)
+        powers, inverses = self._powers(n)
+        upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers[:n])])
+        return _mixed((upto[size:] - upto[:-size]) * inverses[: n - size + 1])
+
+    def windows(self, hashes):
+        return self.rolling(hashes, self.run)
+
+    def segments(self, hashes):
+        """f, r, a, b, again of each segment of a text with at least one window."""
+        import numpy as np
+
+        windows = self.windows(hashes)
+        least, size = self.rolling(hashes, self.gram), 1
+        while size < self.run - self.gram + 1:
+            step = min(size, self.run - self.gram + 1 - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        ends = np.concatenate([starts[1:], [len(least)]]) - 1
+        if (ends - starts >= self.run).any():
+            # its first and last window hold all words of a segment only if they touch: longer ones (of words that recur) are cut
+            starts = np.concatenate([np.arange(a, b + 1, self.run) for a, b in zip(starts.tolist(), ends.tolist())])
+            ends = np.concatenate([starts[1:], [len(least)]]) - 1
+        again = np.zeros(len(starts), bool)
+        ordered = np.sort(windows)
+        if (ordered[1:] == ordered[:-1]).any():
+            order = np.argsort(windows, kind="stable")
+            same = windows[order[1:]] == windows[order[:-1]]
+            one, other = (np.searchsorted(starts, order[s][same], "right") - 1 for s in (slice(None, -1), slice(1, None)))
+            again[one[one == other]] = True
+        content = _mixed(windows[starts] + _mixed(windows[ends] ^ (ends - starts).astype(np.uint64)))
+        return least[starts], content, starts, ends, again
+
+
+def _mixed(x):
+    """Every bit of the result depends on every bit of x."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -68,43 +142,91 @@ def _place(word: str) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", F.col(word).alias("word"))
 
 
+def _kind(docs: DataFrame) -> str:
+    return dict(docs.dtypes)["doc_id"]
+
+
 def segments(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
     """doc_id, th (hash of the text), f (fingerprint), r (hash of the content), a, b (first and last window), again (it repeats itself) of every segment, as a written table."""
-    out = _windows(_keyed(docs), run, gram).withColumn("least", F.col("grams"))
-    size = 1
-    while size < run - gram + 1:
-        step = min(size, run - gram + 1 - size)
-        out = out.withColumn("least", _pairwise("least", step, lambda a, b: F.least(a, b)))
-        size += step
-    least = F.col("least")
-    places = F.when(F.size(least) > 0, F.sequence(F.lit(0), F.size(least) - 1)).otherwise(F.array().cast("array<int>"))
-    changes = F.filter(places, lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1)))
-    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    out = out.select("doc_id", "th", "windows", "least", changes.alias("starts"), repeats.alias("repeats"))
-    end = lambda j: F.coalesce(F.get("starts", j + 1), F.size("least")) - 1
-
-    def part(a: Column, b: Column) -> Column:
-        content = F.xxhash64(F.get("windows", a), F.get("windows", b), b - a)
-        own = F.slice("windows", a + 1, b - a + 1)
-        again = F.when(F.col("repeats"), F.size(F.array_distinct(own)) < F.size(own)).otherwise(F.lit(False))
-        return F.struct(F.get("least", a).alias("f"), content.alias("r"), a.alias("a"), b.alias("b"), again.alias("again"))
-
-    # its first and last window hold all words of a segment only if they touch: longer ones (of words that recur) are cut
-    parts = F.transform("starts", lambda a, j: F.transform(F.sequence(a, end(j), F.lit(run)), lambda s: part(s, F.least(s + (run - 1), end(j)))))
-    each = F.flatten(parts)
-    return cut(out.select("doc_id", "th", F.inline(each)), "segments")
+
+    def make(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hashes, names = Hashes(run, gram), ["doc_id", "th", "f", "r", "a", "b", "again"]
+        for batch in batches:
+            rows, found, size = [], [], 0
+
+            def out():
+                pick = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
+                f, r, a, b, again = (np.concatenate(c) for c in zip(*found))
+                columns = [f.view(np.int64), r.view(np.int64), a.astype(np.int32), b.astype(np.int32), again]
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *map(pa.array, columns)], names)
+
+            for i, text in enumerate(batch.column(2)):
+                words = hashes.of(text.as_buffer().to_pybytes())
+                if len(words) >= run:
+                    rows.append(i)
+                    found.append(hashes.segments(words))
+                    size += len(found[-1][0])
+                if size >= 1 << 16:
+                    yield out()
+                    rows, found, size = [], [], 0
+            if size:
+                yield out()
+
+    # fewer characters don't hold as many words
+    long = _keyed(docs).where(F.length("text") >= 2 * run - 1).select("doc_id", "th", "text")
+    return cut(long.mapInArrow(make, f"doc_id {_kind(docs)}, th long, f long, r long, a int, b int, again boolean"), "segments")
+
+
+def _only(keyed: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
+    """Of rows with th: those whose th some row of found has, and the others (none: not taken apart, as there are too many keys)."""
+    if n > KEYS:
+        return keyed, None
+    keys = F.broadcast(found.select("th").distinct())
+    return keyed.join(keys, "th", "left_semi"), keyed.join(keys, "th", "left_anti")
 
 
 def _later_windows(docs: DataFrame, edges: DataFrame, run: int, gram: int) -> DataFrame:
     """doc_id, th, a, b of the windows in edges (doc_id, th, f, a, b) that an earlier window of the same fingerprint equals."""
     of_doc = cut(edges.groupBy("doc_id", "th").agg(F.collect_set(F.struct("f", "a", "b")).alias("edges")), "segment-edges")
+    counted = of_doc.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("edges")).first()
+    texts, _ = _only(_keyed(docs), of_doc, counted["n"])
     held = of_doc.select(F.struct("doc_id", "th").alias("of"), "edges")
-    few = (held.agg(F.sum(F.size("edges"))).first()[0] or 0) <= BROADCAST_ROWS
-    keyed = _keyed(docs).withColumn("key", F.struct("doc_id", "th"))
-    texts = keyed.join(F.broadcast(held) if few else held, F.col("key") == F.col("of")).select("doc_id", "th", "text", "edges")
-    found = _windows(texts, run, gram).select("doc_id", "th", "windows", F.explode("edges").alias("edge"))
-    found = found.select("doc_id", "th", "edge.f", "edge.a", F.posexplode(F.slice("windows", F.col("edge.a") + 1, F.col("edge.b") - F.col("edge.a") + 1)).alias("i", "h"))
-    found = cut(found.select("doc_id", "th", "f", "h", (F.col("a") + F.col("i")).alias("a")), "edge-windows")
+    held = F.broadcast(held) if counted["edges"] <= BROADCAST_ROWS else held
+    texts = texts.withColumn("key", F.struct("doc_id", "th")).join(held, F.col("key") == F.col("of")).select("doc_id", "th", "text", "edges")
+
+    def make(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hashes, names = Hashes(run, gram), ["doc_id", "th", "f", "h", "a"]
+        for batch in batches:
+            rows, found, size = [], [], 0
+
+            def out():
+                pick = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
+                f, h, a = (np.concatenate(c) for c in zip(*found))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(f), pa.array(h.view(np.int64)), pa.array(a.astype(np.int32))], names)
+
+            edges = batch.column(3)
+            offsets, parts = edges.offsets.to_numpy(), edges.values
+            f, a, b = (parts.field(i).to_numpy() for i in range(3))
+            for i, text in enumerate(batch.column(2)):
+                windows = hashes.windows(hashes.of(text.as_buffer().to_pybytes()))
+                own = slice(offsets[i], offsets[i + 1])
+                places = np.concatenate([np.arange(x, y + 1) for x, y in zip(a[own], b[own])])
+                rows.append(i)
+                found.append((np.repeat(f[own], b[own] - a[own] + 1), windows[places], places))
+                size += len(places)
+                if size >= 1 << 16:
+                    yield out()
+                    rows, found, size = [], [], 0
+            if size:
+                yield out()
+
+    found = cut(texts.mapInArrow(make, f"doc_id {_kind(docs)}, th long, f long, h long, a int"), "edge-windows")
     firsts = found.groupBy("f", "h").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = found.join(firsts, ["f", "h"]).where(_place("a") > F.col("first"))
     return later.select("doc_id", "th", "a", F.col("a").alias("b"))
@@ -115,11 +237,14 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
     if not 1 <= gram <= run:
         raise ValueError("a gram is a part of a run")
     every = segments(docs, run, gram)
-    kinds = cut(every.groupBy("f", "r").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times"), F.max("again").alias("again")), "segment-kinds")
+    # a fingerprint of one segment anchors nothing
+    anchors = every.groupBy("f").agg(F.count("*").alias("times"), F.max("again").alias("any")).where("times > 1 or any").select("f")
+    hits = cut(every.join(anchors, "f"), "segment-hits")
+    kinds = cut(hits.groupBy("f", "r").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times"), F.max("again").alias("again")), "segment-kinds")
     # segments of one fingerprint that differ, or that repeat themselves: a match may begin or end in them
     several = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").select("f", F.lit(True).alias("edge"))
     matched = kinds.join(several, "f", "left").where("times > 1 or edge").select("f", "r", "first", "edge")
-    matched = every.join(matched, ["f", "r"]).withColumn("later", _place("a") > F.col("first")).where("later or edge")
+    matched = hits.join(matched, ["f", "r"]).withColumn("later", _place("a") > F.col("first")).where("later or edge")
     matched = cut(matched.select("doc_id", "th", "f", "a", "b", "later"), "segment-matches")
     whole = matched.where("later").select("doc_id", "th", "a", "b")
     found = whole.unionByName(_later_windows(docs, matched.where("not later"), run, gram))
@@ -158,27 +283,30 @@ def _without(text: Column, runs: Column) -> Column:
 
 
 def drop_repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """row (a struct of all columns of docs, the text without its repeated runs), n_words, n_runs, n_removed (words) of every row."""
+    """row (a struct of all columns of docs, the text without its repeated runs), n_runs, n_removed (words), emptied (all of its words went) of every row."""
     found = cut(repeated_runs(docs, run, gram), "repeated-runs")
-    found = found.select(F.struct("doc_id", "th").alias("of"), "runs")
-    total = found.agg(F.sum(F.size("runs"))).first()[0] or 0
-    found = F.broadcast(found) if total <= BROADCAST_ROWS else found
+    counted = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("runs")), F.lit(0)).alias("runs")).first()
     text = F.col("row.text").cast("string")
-    keyed = docs.select(row_of(docs)).select("row", F.struct("row.doc_id", F.xxhash64(text).alias("th")).alias("key"))
-    joined = keyed.join(found, F.col("key") == F.col("of"), "left").select("row", "runs")  # structs: nulls in the same places are equal
+    keyed = docs.select(row_of(docs)).select("row", F.xxhash64(text).alias("th"))
+    held = found.select(F.struct("doc_id", "th").alias("of"), "runs")
+    if counted["runs"] <= BROADCAST_ROWS:
+        some, others, held = keyed, None, F.broadcast(held)
+    else:
+        some, others = _only(keyed, found, counted["n"])
+    # structs with nulls in the same places are equal
+    joined = some.withColumn("key", F.struct("row.doc_id", "th")).join(held, F.col("key") == F.col("of"), "left").select("row", "runs")
+    if others is not None:
+        joined = joined.unionByName(others.select("row", F.lit(None).cast(found.schema["runs"].dataType).alias("runs")))
     new = F.when(F.col("runs").isNotNull(), _without(text, F.col("runs"))).otherwise(text)
     removed = F.aggregate("runs", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1)
-    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return joined.select(
-        F.col("row").withField("text", new).alias("row"),
-        word_count(text).alias("n_words"),
-        count(F.when(F.col("runs").isNotNull(), F.size("runs"))).alias("n_runs"),
-        count(removed).alias("n_removed"),
-    )
+    some = F.col("runs").isNotNull()
+    count = lambda c: F.when(some, c).otherwise(F.lit(0)).cast("long")
+    made = joined.select(F.col("row").withField("text", new).alias("row"), count(F.size("runs")).alias("n_runs"), count(removed).alias("n_removed"))
+    return made.withColumn("emptied", F.when(F.col("n_removed") > 0, ~F.col("row.text").rlike(WORD)).otherwise(F.lit(False)))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_words", "n_runs", "n_removed")
+    return drop_repeated_runs(table(spark, sf_dir, "documents").select("doc_id", "text")).select("row.*", "n_runs", "n_removed", "emptied")
 
 
 QUERIES = {"op3_line_dedup": op3_line_dedup}
@@ -203,6 +331,6 @@ counts AS (
   SELECT doc_id, count(*) FILTER (WHERE gone AND NOT before) AS n_runs, count(*) FILTER (WHERE gone) AS n_removed
   FROM (SELECT doc_id, gone, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM marked) GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN regexp_extract(d.text, '^[\x20\x09-\x0D]*') || coalesce(t.text, '') END AS text,
-       coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(n_removed, 0)::BIGINT AS n_removed
+       coalesce(n_runs, 0)::BIGINT AS n_runs, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_removed > 0 AND n_removed = len(w), false) AS emptied
 FROM d LEFT JOIN texts t USING (doc_id) LEFT JOIN counts USING (doc_id)""",
 }

@@ -7,11 +7,11 @@ PIECE = re.compile(r"([^\x20\x09-\x0D]+)([\x20\x09-\x0D]*)")
 
 
 def plain(rows, run):
-    """rows: distinct (doc_id, text) in order. The text left of each, its words, runs and words removed."""
+    """rows: distinct (doc_id, text) in order. The text left of each, whether all its words went, runs and words removed."""
     seen, out = set(), {}
     for i, text in rows:
         if text is None:
-            out[i] = (None, 0, 0, 0)
+            out[i] = (None, False, 0, 0)
             continue
         pieces = PIECE.findall(text)
         words, gone = [w for w, _ in pieces], set()
@@ -33,16 +33,26 @@ def plain(rows, run):
             space = pieces[k][1] if end == k + 1 or "\n" in pieces[k][1] else pieces[end - 1][1]
             left.append(words[k] + space)
             k += 1
-        out[i] = ("".join(left), len(words), n_runs, len(gone))
+        out[i] = ("".join(left), 0 < len(words) == len(gone), n_runs, len(gone))
     return out
 
 
 def got(spark, rows, run, gram=4):
     docs = spark.createDataFrame([(i, t, "h", 3, "x", 4.5) for i, t in rows], "doc_id long, text string, key string, runs int, row string, `f.g` double").repartition(3)
     found = lines.drop_repeated_runs(docs, run, gram)
-    assert found.columns == ["row", "n_words", "n_runs", "n_removed"]
+    assert found.columns == ["row", "n_runs", "n_removed", "emptied"]
     assert found.select("row.*").columns == docs.columns
-    return [(r.row.doc_id, r.row.text, r.n_words, r.n_runs, r.n_removed) for r in found.collect()]
+    return [(r.row.doc_id, r.row.text, r.emptied, r.n_runs, r.n_removed) for r in found.collect()]
+
+
+def test_many_documents_with_runs(spark, monkeypatch):
+    """The joins beyond each of the bounds of a broadcast give the same."""
+    rows = made(60, 9)
+    want = plain(rows, 10)
+    for bounds in ((0, 10**6), (0, 0)):
+        monkeypatch.setattr(lines, "BROADCAST_ROWS", bounds[0])
+        monkeypatch.setattr(lines, "KEYS", bounds[1])
+        assert {(i, *want[i]) for i in want} == set(got(spark, rows, 10))
 
 
 def made(n, seed):
@@ -88,6 +98,19 @@ def test_runs_are_aligned(spark):
     assert found[4][1] == "z" and found[4][4] == 55
 
 
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    hashes = lines.Hashes(5, 2)
+    words = ["a", "b", "ab", "é", "a" * 3000, "日本", "x\x00y"]
+    of = {w: int(hashes.of(w.encode())[0]) for w in words}
+    assert len(set(of.values())) == len(words)
+    rng = random.Random(1)
+    text = [rng.choice(words) for _ in range(500)]
+    raw = "".join(w + rng.choice([" ", "\n", "\t \x0b", "\r\n"]) for w in text).encode()
+    for part in (1 << 20, 4000, 10):
+        monkeypatch.setattr(lines, "PART", part)
+        assert hashes.of(raw).tolist() == [of[w] for w in text] and len(hashes.of(b" \n ")) == 0
+
+
 def test_equal_windows_have_equal_fingerprints(spark):
     rows = made(80, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
