@@ -79,3 +79,13 @@ def test_cycles(spark):
     cyclic = {k for k, r in found.items() if "in or behind a cycle" in r.problems}
     assert cyclic == {(1, "call", "a"), (1, "call", "b"), (1, "result", "a"), (1, "call", "c"), (2, "call", "self")}
     assert all(r.place == r.turn for r in found.values())
+
+
+def test_a_long_chain_in_reverse(spark):
+    """A chain of 200 messages takes some log2 of as many rounds."""
+    n, rows = 100, []
+    for k in range(n):
+        rows += [call(1, 2 * (n - 1 - k), f"i{k}", after=[f"i{k - 1}"] if k else None), result(1, 2 * (n - 1 - k) + 1, f"i{k}")]
+    found = {(r.kind, r.call_id): r.place for r in run(spark, rows)}
+    first = 2 * (n - 1)
+    assert found == {(kind, f"i{k}"): first + 2 * k + (kind == "result") for k in range(n) for kind in ("call", "result")}

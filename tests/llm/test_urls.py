@@ -66,6 +66,19 @@ def test_against_brute_force(spark, max_blocks):
     assert {r[4] for r in want if r[3] is None} == {"allow", "block"}
 
 
+def test_rules_of_many_shapes(spark):
+    """More hosts, labels and lengths of paths than a plan could hold as expressions."""
+    rng = random.Random(6)
+    hosts = [".".join(rng.choices("abc", k=rng.randrange(1, 9))) for _ in range(150)]
+    path = lambda n: "/" + "".join(rng.choices("xy/", k=rng.randrange(0, n)))
+    rules = [(rng.choice(hosts), path(60), rng.choice(["allow", "block"])) for _ in range(400)] + [("", "/x", "block")]
+    rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
+    rows = [(i, f"http://{rng.choice(['', 'q.', 'a.'])}{h}{p}{rng.choice(['', 'x', '/y', '?x'])}") for i, (h, p, _) in enumerate(rng.choices(rules, k=800))]
+    rows += [(9000, "http://" + "a." * 3000 + "c/x"), (9001, "http:///x"), (9002, "http://a/" + "x" * 5000)]
+    assert got(spark, rows, rules, []) == plain(rows, rules, [])
+    assert got(spark, rows, rules, [], max_blocks=64) == plain(rows, rules, [])
+
+
 def test_filter_has_no_false_negative_and_few_false_positives(spark):
     keys = spark.range(4000).selectExpr("concat('page ', id) key")
     words, blocks = urls.blocked_bloom(keys, 4000)
