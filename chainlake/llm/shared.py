@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chainlake.sources import work
+
 #: A word is a run of characters other than these six; the same class as bytes.split().
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -16,18 +16,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 50_000
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local masters only) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{os.path.join(tempfile.gettempdir(), 'chainlake-work')}"
-    return f"{base.rstrip('/')}/chainlake-{spark.sparkContext.applicationId}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{uuid.uuid4().hex[:12]}-{name}"
+    """A place of its own in the folder that driver and executors share."""
+    return f"{work.folder(spark)}/{uuid.uuid4().hex[:12]}-{name}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -37,13 +28,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete this application's tables in the work folder. Call it after the results have been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only for a table whose counted rows are within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
