@@ -130,3 +130,17 @@ def test_defined_cases(spark):
     check(rows, run(spark, rows))
     check(rows, run(spark, rows, weights={"b": 0}))
     assert run(spark, []) == []
+
+
+def test_ids_are_the_librarys_over_all_characters():
+    """Every code point, and every piece of the vocabulary, alone and among others."""
+    ids = packing.Ids(tokens.vocabulary_path())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i : i + 512]) for i in range(0, len(points), 512)]
+    texts += [" ".join(points[i : i + 512]) for i in range(0, 0x3000, 512)]
+    texts += [f"x{c}1 {c}{c}\n" for c in points[:0x3000:7]]
+    pieces = sorted(LIBRARY.get_vocab(), key=LIBRARY.get_vocab().get)
+    decoded = [LIBRARY.decode([i], skip_special_tokens=False) for i in range(len(pieces))]
+    texts += ["".join(decoded[i : i + 300]) for i in range(0, len(decoded), 300)] + [" ".join(decoded[i : i + 300]) for i in range(0, len(decoded), 300)]
+    for text, want in zip(texts, LIBRARY.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids.of(text), ids.kind).tolist() == want.ids
