@@ -35,6 +35,8 @@ from chainlake.llm.tokens import PATTERN, PieceTable, byte_symbols, pieces, voca
 
 LENGTH = 2048
 END = 1
+#: Pieces whose ids a task remembers: some 200 bytes each, beside what other stages' workers hold.
+IDS_HELD = 300_000
 #: Stretches of rounds, about, and rounds that a stretch has at least.
 BUCKETS = 32_768
 LEAST_ROUNDS = 64
@@ -48,11 +50,11 @@ class Ids:
     def __init__(self, path: str):
         import numpy as np
         import tiktoken
-        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
-        self.library = Tokenizer.from_file(path)
-        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.path, self.library = path, None
+        size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.array = np.array
         self.marks = [t["content"] for t in spec["added_tokens"]]
         vocabulary, back = spec["model"]["vocab"], {s: bytes([b]) for b, s in enumerate(byte_symbols())}
@@ -63,10 +65,14 @@ class Ids:
             # merges are in order of ids, so the faster library's merging by id is the same
             ranks = {b"".join(map(back.__getitem__, s)): i for s, i in vocabulary.items() if all(c in back for c in s)}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.table = PieceTable(self.raw)
+        self.table = PieceTable(self.raw, IDS_HELD)
 
     def raw(self, text: str) -> bytes:
         if self.fast is None or any(m in text for m in self.marks):
+            if self.library is None:  # most tasks don't need it
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
             ids = self.library.encode(text, add_special_tokens=False).ids
         else:
             ids = self.fast.encode_ordinary(text)

@@ -55,18 +55,18 @@ def pieces(text: str) -> list[str] | None:
 class PieceTable(dict):
     """Values of pieces (without the space before them), computed when first asked for."""
 
-    def __init__(self, compute: Callable[[str], object]):
-        self.compute = compute
+    def __init__(self, compute: Callable[[str], object], most: int = CACHE_ENTRIES):
+        self.compute, self.most = compute, most
 
     def __missing__(self, piece: str) -> object:
         value = self.compute(" " + piece)
-        if len(self) < CACHE_ENTRIES and len(piece) <= CACHE_PIECE:
+        if len(self) < self.most and len(piece) <= CACHE_PIECE:
             self[piece] = value
         return value
 
     def renew(self) -> None:
         """At the start of a task: a full table is emptied, as this task's texts may differ."""
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             self.clear()
 
 
