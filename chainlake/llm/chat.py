@@ -11,7 +11,7 @@ sums first), so repeated identifiers make no pairs, and keys that recur in a thi
 conversation is collected: each message stays a row. Only conversations in which some message stands before what it needs are
 ordered, by pointer doubling: in a round every need of a message that itself needs one other (or none) is replaced by
 what that one needs, and the steps between are kept, so a chain of n messages takes about log2(n) rounds, whatever its
-conversation's size. Rounds grow beyond that only with chains of messages that each keep several different needs.
+conversation's size; only messages that are not settled go into the next round. Rounds grow beyond that only with chains of messages that each keep several different needs.
 
 Defined cases: a call without a result, a result without a call, a repeated identifier, an unknown tool, arguments that are no
 object, a needed call that is absent, and a cycle are problems listed by name (valid is then false; in a cycle place is the
@@ -22,6 +22,8 @@ empty result; columns other than those named are ignored; texts may be of any le
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +85,7 @@ def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # place: the latest that is known of it; size: more steps than it has nodes go through a cycle
     held = cut(sized.select("node", F.col("turn").alias("place"), "size", F.lit(False).alias("cyclic")), "chat-nodes")
     links = cut(within(edges).select("node", "needs").distinct().withColumn("steps", F.lit(1).cast("long")), "chat-links")
-    n_links = links.count()
+    n_links, settled = links.count(), []
     while n_links:
         out = links.groupBy("node").agg(F.count("*").alias("n"), F.first("needs").alias("next"), F.first("steps").alias("far"))
         known = held.join(out, "node", "left").select(F.col("node").alias("needed"), F.col("place").alias("at"), F.col("cyclic").alias("bad"), "n", "next", "far")
@@ -99,18 +101,24 @@ def _places(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         )
         met = cut(met.withColumn("bad", F.col("bad") | (F.col("steps") > F.col("size"))), "chat-met")
         new = met.groupBy("node").agg(F.max("least").alias("least"), F.max("bad").alias("bad"))
-        placed = held.join(new, "node", "left").select("node", F.greatest("place", F.coalesce("least", "place")).alias("place"), "size", (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"))
         after = met.where("needs is not null").join(new.where("bad").select("node"), "node", "left_anti")
         after = cut(after.groupBy("node", "needs").agg(F.max("steps").alias("steps")), "chat-links")
         same = links.join(after.withColumnRenamed("steps", "now"), ["node", "needs"]).where("steps = now").count()
-        held = cut(placed, "chat-nodes")
+        going = after.select(F.explode(F.array("node", "needs")).alias("node")).distinct().withColumn("going", F.lit(True))
+        placed = held.join(new, "node", "left").join(going, "node", "left")
+        placed = placed.select("node", F.greatest("place", F.coalesce("least", "place")).alias("place"), "size", (F.col("cyclic") | F.coalesce("bad", F.lit(False))).alias("cyclic"), F.coalesce("going", F.lit(False)).alias("going"))
+        placed = cut(placed, "chat-nodes")
+        # what has no links left, and isn't needed, goes into no further round
+        settled.append(placed.where("not going").drop("going"))
+        held = placed.where("going").drop("going")
         if same == n_links:
             # all that is left needs several, each of which needs several: no end is ever reached
             stuck = links.select("node").distinct().withColumn("stuck", F.lit(True))
             held = held.join(stuck, "node", "left").select("node", "place", "size", (F.col("cyclic") | F.col("stuck").isNotNull()).alias("cyclic"))
             break
         links, n_links = after, after.count()
-    return held.select("node", F.when(~F.col("cyclic"), F.col("place")).alias("place"))
+    every = reduce(DataFrame.unionByName, settled, held)
+    return every.select("node", F.when(~F.col("cyclic"), F.col("place")).alias("place"))
 
 
 def link_tool_calls(messages: DataFrame, schemas: DataFrame) -> DataFrame:
