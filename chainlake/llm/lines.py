@@ -4,16 +4,17 @@ A run is RUN (50) words or more that stand in the same order at an earlier place
 document or of the same one. Runs are aligned, word for word, with one earlier place; white space and line breaks
 between the words don't count. Every word in a run is deleted, the first occurrence stays.
 
-Method: winnowing, over hashes of GRAM words instead of whole lines, as most repeated passages begin or end inside a line.
-Each window of RUN words picks the least of the hashes in it as its fingerprint, so equal windows have equal ones. Windows
-in sequence with one fingerprint are one segment, which its first and last window identify. Segments are joined with their
-earliest equal: that extends a match over all of its inner segments at once. Where a match begins or ends, segments of one
-fingerprint differ (or one repeats itself), and there, from the anchor, it is extended window by window in both directions.
+Method: winnowing, over words instead of whole lines, as most repeated passages begin or end inside a line. Each window of
+RUN words picks, of the words that have GRAM - 1 others after them in it, the one with the least hash (the first of equal
+ones); those GRAM words are its fingerprint, so equal windows have equal ones. Windows in sequence that pick the same word are
+one segment, and the words of its windows identify it. Segments are joined with their earliest equal: that extends a match
+over all of its inner segments at once. Where a match begins or ends, segments of one fingerprint differ, and there,
+from the anchor, it is extended window by window in both directions.
 
-Words are hashed by numpy in Arrow batches, all else is done by DataFrame functions: with lambdas over arrays in their
-stead, the operator took more than its limit of time (figures in the README).
+All of it is done by DataFrame functions. Sliding minima are taken by slices in generated code, at the places of an
+exploded array; lambdas, which Spark interprets, only hash words and look through a segment's own words.
 
-Scale: the texts are read once for the segments, one for some 18 words, with 64-bit hashes of the fingerprint and of the
+Scale: the texts are read once for the segments, one for some 10 words, with 64-bit hashes of the fingerprint and of the
 content, and nothing else of the texts is shuffled for them. Earlier places come from grouped minima with partial sums, so a
 passage in a third of all documents costs one row a task; joins on a hash have one row a key on one side, so Spark splits
 skewed keys; no pair of documents is ever made. Only documents with a segment at a match's end are read again. Texts are
@@ -30,12 +31,10 @@ result; all columns are carried along as one struct, whatever their names; texts
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainlake.llm.shared import BROADCAST_ROWS, WORD, cut, row_of, table
+from chainlake.llm.shared import BROADCAST_ROWS, SPACE, WORD, cut, row_of, table
 
 RUN = 50
 GRAM = 16
@@ -46,7 +45,7 @@ PART = 1 << 20
 
 
 class Hashes:
-    """Rolling 64-bit hashes of words, and over them: sums of values by powers of an odd base, mixed."""
+    """Rolling 64-bit hashes of words, and over them: sums of values by powers of an odd base, mixed. The operator no longer uses them; tests do."""
 
     def __init__(self, run: int, gram: int):
         import numpy as np
@@ -142,42 +141,42 @@ def _place(word: str) -> Column:
     return F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "th", F.col(word).alias("word"))
 
 
-def _kind(docs: DataFrame) -> str:
-    return dict(docs.dtypes)["doc_id"]
+def _hashed(texts: DataFrame, *others: str) -> DataFrame:
+    """doc_id, th, hs (the words' hashes, in order) and other columns."""
+    blanks = F.lit(" \t\n\x0b\x0c\r")
+    words = F.split(F.btrim("text", blanks), SPACE)
+    # an empty text splits into one empty word; where this is used texts have a run of words
+    return texts.select("doc_id", "th", F.transform(words, lambda w: F.xxhash64(w)).alias("hs"), *others)
 
 
-def segments(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
-    """doc_id, th (hash of the text), f (fingerprint), r (hash of the content), a, b (first and last window), again (it repeats itself) of every segment, as a written table."""
+def _part(start: Column, size: Column | int) -> Column:
+    """Hashes of `size` words from a place that counts from 0."""
+    return F.slice("hs", start + 1, F.lit(size) if isinstance(size, int) else size)
 
-    def make(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        hashes, names = Hashes(run, gram), ["doc_id", "th", "f", "r", "a", "b", "again"]
-        for batch in batches:
-            rows, found, size = [], [], 0
-
-            def out():
-                pick = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-                f, r, a, b, again = (np.concatenate(c) for c in zip(*found))
-                columns = [f.view(np.int64), r.view(np.int64), a.astype(np.int32), b.astype(np.int32), again]
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), *map(pa.array, columns)], names)
-
-            for i, text in enumerate(batch.column(2)):
-                words = hashes.of(text.as_buffer().to_pybytes())
-                if len(words) >= run:
-                    rows.append(i)
-                    found.append(hashes.segments(words))
-                    size += len(found[-1][0])
-                if size >= 1 << 16:
-                    yield out()
-                    rows, found, size = [], [], 0
-            if size:
-                yield out()
 
+def segments(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFrame:
+    """doc_id, th (hash of the text), f (fingerprint), r (hash of the content), a, b (first and last window) of every segment, as a written table."""
+    places = run - gram + 1  # of a window's grams
     # fewer characters don't hold as many words
-    long = _keyed(docs).where(F.length("text") >= 2 * run - 1).select("doc_id", "th", "text")
-    return cut(long.mapInArrow(make, f"doc_id {_kind(docs)}, th long, f long, r long, a int, b int, again boolean"), "segments")
+    long = _hashed(_keyed(docs).where(F.length("text") >= 2 * run - 1))
+    # outer: else a filter that is inferred from the explosion would make the hashes twice
+    each = long.select("doc_id", "th", "hs", F.posexplode_outer("hs").alias("a", "word")).where(F.col("a") <= F.size("hs") - run)
+    if places > 1:
+        # the window before has another least: its own first word, or none as small as this one's last
+        gone, come = F.get("hs", F.col("a") - 1), F.get("hs", F.col("a") + (places - 1))
+        inner = F.array_min(_part(F.col("a"), places - 1))
+        each = each.where((F.col("a") == 0) | (inner >= F.when(gone <= come, gone).otherwise(come + 1)))
+    # what follows works on the words of the windows that can have this least; its steps are apart, as a long method of generated code is never compiled
+    found = each.select("doc_id", "th", "a", _part(F.col("a"), run + places - 1).alias("hs"), _part(F.col("a") + places, places).alias("then"), F.array_min(_part(F.col("a"), places)).alias("least"), (F.size("hs") - run - F.col("a")).alias("last"))
+    smaller = F.array_position(F.transform("then", lambda x: x < F.col("least")), F.lit(True)).cast("int")
+    found = found.select("doc_id", "th", "a", "hs", "least", "last", smaller.alias("smaller"))
+    at = F.array_position(F.slice("hs", 1, places), F.col("least")).cast("int") - 1
+    found = found.select("doc_id", "th", "a", "hs", "last", "smaller", at.alias("at"))
+    # the windows that follow have the same least as long as they hold it and no smaller word comes
+    n = F.least("at", "last", F.when(F.col("smaller") > 0, F.col("smaller") - 1))
+    found = found.select("doc_id", "th", "a", "hs", "at", n.alias("n"))
+    f, r = F.xxhash64(_part(F.col("at"), gram)), F.xxhash64(_part(F.lit(0), F.col("n") + run))
+    return cut(found.select("doc_id", "th", f.alias("f"), r.alias("r"), "a", (F.col("a") + F.col("n")).alias("b")), "segments")
 
 
 def _only(keyed: DataFrame, found: DataFrame, n: int) -> tuple[DataFrame, DataFrame | None]:
@@ -197,36 +196,9 @@ def _later_windows(docs: DataFrame, edges: DataFrame, run: int, gram: int) -> Da
     held = F.broadcast(held) if counted["edges"] <= BROADCAST_ROWS else held
     texts = texts.withColumn("key", F.struct("doc_id", "th")).join(held, F.col("key") == F.col("of")).select("doc_id", "th", "text", "edges")
 
-    def make(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        hashes, names = Hashes(run, gram), ["doc_id", "th", "f", "h", "a"]
-        for batch in batches:
-            rows, found, size = [], [], 0
-
-            def out():
-                pick = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-                f, h, a = (np.concatenate(c) for c in zip(*found))
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(f), pa.array(h.view(np.int64)), pa.array(a.astype(np.int32))], names)
-
-            edges = batch.column(3)
-            offsets, parts = edges.offsets.to_numpy(), edges.values
-            f, a, b = (parts.field(i).to_numpy() for i in range(3))
-            for i, text in enumerate(batch.column(2)):
-                windows = hashes.windows(hashes.of(text.as_buffer().to_pybytes()))
-                own = slice(offsets[i], offsets[i + 1])
-                places = np.concatenate([np.arange(x, y + 1) for x, y in zip(a[own], b[own])])
-                rows.append(i)
-                found.append((np.repeat(f[own], b[own] - a[own] + 1), windows[places], places))
-                size += len(places)
-                if size >= 1 << 16:
-                    yield out()
-                    rows, found, size = [], [], 0
-            if size:
-                yield out()
-
-    found = cut(texts.mapInArrow(make, f"doc_id {_kind(docs)}, th long, f long, h long, a int"), "edge-windows")
+    each = _hashed(texts, "edges").select("doc_id", "th", "hs", F.inline("edges"))
+    each = each.select("doc_id", "th", "hs", "f", F.explode(F.sequence("a", "b")).alias("a"))
+    found = cut(each.select("doc_id", "th", "f", F.xxhash64(_part(F.col("a"), run)).alias("h"), "a"), "edge-windows")
     firsts = found.groupBy("f", "h").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = found.join(firsts, ["f", "h"]).where(_place("a") > F.col("first"))
     return later.select("doc_id", "th", "a", F.col("a").alias("b"))
@@ -238,11 +210,12 @@ def repeated_runs(docs: DataFrame, run: int = RUN, gram: int = GRAM) -> DataFram
         raise ValueError("a gram is a part of a run")
     every = segments(docs, run, gram)
     # a fingerprint of one segment anchors nothing
-    anchors = every.groupBy("f").agg(F.count("*").alias("times"), F.max("again").alias("any")).where("times > 1 or any").select("f")
+    # written, so that the join can split a fingerprint of many segments
+    anchors = cut(every.groupBy("f").agg(F.count("*").alias("times")).where("times > 1").select("f"), "segment-anchors")
     hits = cut(every.join(anchors, "f"), "segment-hits")
-    kinds = cut(hits.groupBy("f", "r").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times"), F.max("again").alias("again")), "segment-kinds")
-    # segments of one fingerprint that differ, or that repeat themselves: a match may begin or end in them
-    several = kinds.groupBy("f").agg(F.count("*").alias("kinds"), F.max("again").alias("any")).where("kinds > 1 or any").select("f", F.lit(True).alias("edge"))
+    kinds = cut(hits.groupBy("f", "r").agg(F.min(_place("a")).alias("first"), F.count("*").alias("times")), "segment-kinds")
+    # segments of one fingerprint that differ: a match may begin or end in them
+    several = kinds.groupBy("f").agg(F.count("*").alias("kinds")).where("kinds > 1").select("f", F.lit(True).alias("edge"))
     matched = kinds.join(several, "f", "left").where("times > 1 or edge").select("f", "r", "first", "edge")
     matched = hits.join(matched, ["f", "r"]).withColumn("later", _place("a") > F.col("first")).where("later or edge")
     matched = cut(matched.select("doc_id", "th", "f", "a", "b", "later"), "segment-matches")

@@ -120,3 +120,22 @@ def test_equal_windows_have_equal_fingerprints(spark):
         for k in range(r.a, r.b + 1):
             assert of.setdefault(tuple(words[k : k + 10]), r.f) == r.f
     assert len(of) == len({tuple(w[k : k + 10]) for _, t in rows for w in [[x for x, _ in PIECE.findall(t)]] for k in range(len(w) - 9)})
+
+
+def test_segments_are_native_and_cover_each_window_once(spark):
+    """No Python on the executors, and the windows of a text fall into segments without gaps; a text of one word makes one a place."""
+    rows = [*made(40, 7), (900, "one " * 70), (901, " \n\t" * 60), (902, "\x0b".join(f"w{k % 13}" for k in range(120)) + "\r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for run, gram in ((50, 16), (10, 4), (7, 7)):
+        of = {}
+        for r in sorted(lines.segments(docs, run, gram).collect(), key=lambda r: (r.doc_id, r.a)):
+            assert r.a == of.get(r.doc_id, -1) + 1 and r.b >= r.a
+            of[r.doc_id] = r.b
+        assert of == {i: len(w) - run for i, w in ((i, PIECE.findall(t)) for i, t in rows) if len(w) >= run}
+    plans = []
+    kept, lines.cut = lines.cut, lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name)
+    try:
+        lines.repeated_runs(docs)
+    finally:
+        lines.cut = kept
+    assert len(plans) > 5 and not [p for p in plans if "Arrow" in p or "Python" in p]
